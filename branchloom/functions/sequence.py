@@ -32,8 +32,7 @@ def strand_slice(seq: Column, start: Column, end: Column, strand: Column) -> Col
 
 def codons(seq: Column) -> Column:
     """Array of whole codons; a rest of one or two bases is dropped."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.translate(F.upper(F.substring(seq, i * 3 + 1, F.lit(3))), "U", "T"))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(.{3})"), F.lit(1))
 
 
 def translate_codons(seq: Column) -> Column:
@@ -42,13 +41,14 @@ def translate_codons(seq: Column) -> Column:
     return F.array_join(F.transform(codons(seq), lambda c: F.coalesce(F.try_element_at(code, c), F.lit("X"))), "")
 
 
+def bases(seq: Column) -> Column:
+    return F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(.)"), F.lit(1))
+
+
 def same_positions(a: Column, b: Column) -> Column:
     """Positions, over the shorter length, at which both have the same known base; U equals T."""
-    clean = lambda s: F.translate(F.upper(s), "U", "T")
-    n = F.least(F.length(a), F.length(b))
-    x, y = clean(a), clean(b)
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1))) & F.substring(x, i, F.lit(1)).isin("A", "C", "G", "T"))
-    return F.when(n > 0, F.size(hits)).otherwise(0)
+    hits = F.filter(F.zip_with(bases(a), bases(b), lambda x, y: F.coalesce((x == y) & x.isin("A", "C", "G", "T"), F.lit(False))), lambda x: x)
+    return F.size(hits)
 
 
 def cigar_ops(cigar: Column) -> Column:

@@ -170,12 +170,10 @@ def translate_codons(spark, d):
     return sequences(spark, d).select("doc_id", sequence.translate_codons(C("seq")).alias("protein"))
 
 
-@query(f"""WITH {S}, pos AS (SELECT doc_id, seq, {REV.format('seq')} AS other, unnest(range(1, length(seq) + 1)) AS i FROM sq)
-SELECT sq.doc_id, coalesce(sum(CASE WHEN substring(pos.seq, i, 1) = substring(other, i, 1) THEN 1 ELSE 0 END), 0)::BIGINT AS matching FROM sq LEFT JOIN pos USING (doc_id) GROUP BY sq.doc_id""")
+@query(f"WITH {S} SELECT doc_id, coalesce(list_sum(list_transform(list_zip(string_split(seq, ''), string_split({REV.format('seq')}, '')), lambda x: CASE WHEN x[1] = x[2] AND x[1] <> '' THEN 1 ELSE 0 END)), 0)::BIGINT AS matching FROM sq")
 def ungapped_identity(spark, d):
     """Positions at which a sequence equals its own reverse complement."""
-    s = sequences(spark, d).select("doc_id", F.posexplode_outer(F.when(F.length("seq") > 0, F.split("seq", ""))).alias("i", "x"), F.reverse(F.translate("seq", "ACGTU", "TGCAA")).alias("o"))
-    return s.groupBy("doc_id").agg(F.sum(F.when(C("x") == F.substring(C("o"), C("i") + 1, F.lit(1)), 1).otherwise(0)).alias("matching"))
+    return sequences(spark, d).select("doc_id", sequence.same_positions(C("seq"), sequence.reverse_complement(C("seq"))).cast("bigint").alias("matching"))
 
 
 @query(f"WITH {S} SELECT doc_id, CASE WHEN length(seq) < 4 THEN 0.1 WHEN m = 'GT-AG' THEN 1.0 WHEN m = 'GC-AG' THEN 0.8 WHEN m = 'AT-AC' THEN 0.45 ELSE 0.1 END AS score FROM (SELECT *, substring(seq, 1, 2) || '-' || right(seq, 2) AS m FROM sq)")
@@ -193,7 +191,7 @@ def cigars(spark, d):
 
 
 @query(f"""WITH {MATCH}, c AS (SELECT match_id, {CIGAR} AS cigar FROM m)
-SELECT match_id, translate(cigar, 'ID', 'DI') AS transposed, list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MI]', 1), x -> x::INT))::BIGINT AS query_length, list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MD]', 1), x -> x::INT))::BIGINT AS target_length, len(regexp_extract_all(cigar, '[A-Z]')) AS n_ops FROM c""")
+SELECT match_id, translate(cigar, 'ID', 'DI') AS transposed, list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MI]', 1), lambda x: x::INT))::BIGINT AS query_length, list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MD]', 1), lambda x: x::INT))::BIGINT AS target_length, len(regexp_extract_all(cigar, '[A-Z]')) AS n_ops FROM c""")
 def cigar_parse(spark, d):
     c = cigars(spark, d)
     return c.select("match_id", sequence.cigar_transpose(C("cigar")).alias("transposed"), sequence.cigar_length(C("cigar"), "MI").cast("bigint").alias("query_length"), sequence.cigar_length(C("cigar"), "MD").cast("bigint").alias("target_length"), F.size(sequence.cigar_ops(C("cigar"))).alias("n_ops"))
@@ -220,7 +218,7 @@ def attr_map(spark, d):
     return f.groupBy("attrs", none(text.attribute(C("attrs"), "parent")).alias("parent_attr"), none(text.attribute(C("attrs"), "score")).alias("score_attr")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT DISTINCT attrs, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(attrs, ';'), x -> trim(x)), x -> x <> ''))), ';') AS formatted FROM raw_gene_features WHERE attrs IS NOT NULL""")
+@query("""SELECT DISTINCT attrs, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(attrs, ';'), lambda x: trim(x)), lambda x: x <> ''))), ';') AS formatted FROM raw_gene_features WHERE attrs IS NOT NULL""")
 def format_attrs(spark, d):
     return table(spark, d, "raw_gene_features").filter("attrs IS NOT NULL").select("attrs").distinct().select("attrs", text.format_attributes(C("attrs")).alias("formatted"))
 
