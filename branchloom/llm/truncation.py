@@ -38,6 +38,8 @@ DAMAGE = ["�+", r"\\u[0-9a-fA-F]{0,4}", r"\\x[0-9a-fA-F]{0,2}", r"&(?:#x?[0-9a
 FILLERS = ["", "n/a", "na", ".", "-", "--", "none", "null", "nil", "tbd", "todo", "test", "lorem ipsum", "empty", "xxx", "?", "..."]
 
 TOKEN = r"\p{L}[\p{L}\p{M}]*|[0-9]+|\n|[^\s\p{L}0-9]"
+#: Characters at the end of a text whose tokens are cut first; any length gives the same result.
+TAIL = 400
 BLANKS = r"' \t\r\n'"
 
 
@@ -68,8 +70,8 @@ def find_truncated(docs: DataFrame, item: str, text: str, source: str, terminal_
     last one, then all sources together. Marks of continuation and damaged
     characters at the end are taken off first and make the text cut off.
 
-    The common words are broadcast; their number is bounded by the distinct
-    words of a mean text over ``common_share``, whatever the number of texts.
+    The common tokens are broadcast; their number is bounded by the distinct
+    tokens of a mean text over ``common_share``, whatever the number of texts.
 
     Defined results: null, empty, blank and filler texts are never cut off;
     a missing source is a source of its own; with too few texts to know any
@@ -85,22 +87,31 @@ def find_truncated(docs: DataFrame, item: str, text: str, source: str, terminal_
     base = view("base", docs.select(F.col(f"`{item}`").alias("item"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), F.col(f"`{text}`").alias("raw")))
     ending = _text(rf"(?s)(?:\s*(?:{'|'.join(MARKS + DAMAGE)}))+\s*$")
     # tokens of whole texts; numbers keep their length up to three; two empty tokens stand before the first
-    words = view("words", spark.sql(f"""
-      SELECT item, source, xxhash64(body) AS copy, length(body) < length(trimmed) AS marked,
-             concat(array('', ''), transform(regexp_extract_all(body, {_text(TOKEN)}, 0), w -> CASE WHEN w RLIKE '^[0-9]' THEN repeat('0', least(3, length(w))) ELSE w END)) AS t
-      FROM (SELECT item, source, trimmed, rtrim({BLANKS}, regexp_replace(trimmed, {ending}, '')) AS body
-            FROM (SELECT item, source, rtrim({BLANKS}, raw) AS trimmed FROM {base}))
-      WHERE NOT lower(trim({BLANKS}, trimmed)) IN ({', '.join(_text(x) for x in FILLERS)})"""))
-    per_source = materialize(spark.sql(f"SELECT source, count(*) AS n FROM {words} GROUP BY source"), "source_sizes")
+    # marks are taken off the last characters only; of a longer row of marks a rest stays, and the text counts as marked all the same
+    texts = view("texts", spark.sql(f"""
+      SELECT item, source, left(trimmed, length(trimmed) - cut) AS stripped, cut > 0 AS marked
+      FROM (SELECT item, source, trimmed, length(tail) - length(regexp_replace(tail, {ending}, '')) AS cut
+            FROM (SELECT item, source, trimmed, right(trimmed, {TAIL}) AS tail FROM (SELECT item, source, rtrim({BLANKS}, raw) AS trimmed FROM {base})))
+      WHERE NOT lower(trim({BLANKS}, trimmed)) IN ({', '.join(_text(x) for x in FILLERS)})""").withColumn("body", F.expr(f"rtrim({BLANKS}, stripped)")).drop("stripped"))
+
+    def tokens(part: str) -> str:
+        return f"transform(regexp_extract_all({part}, {_text(TOKEN)}, 0), w -> CASE WHEN w >= '0' AND w < ':' THEN repeat('0', least(3, length(w))) ELSE w END)"
+
+    words = view("words", spark.sql(f"SELECT source, concat(array('', ''), {tokens('body')}) AS t FROM {texts}"))
+    # the last three tokens of a text are those of its tail, if that has more than three; else the whole text is cut
+    tails = view("tails", spark.sql(f"""
+      SELECT item, source, copy, marked, concat(array('', ''), CASE WHEN size(tail) > 3 THEN tail ELSE {tokens('body')} END) AS t
+      FROM (SELECT item, source, body, xxhash64(body) AS copy, marked, {tokens(f'right(body, {TAIL})')} AS tail FROM {texts})"""))
+    per_source = materialize(spark.sql(f"SELECT source, count(*) AS n FROM {texts} GROUP BY source"), "source_sizes")
     n_texts = per_source.agg(F.sum("n")).first()[0] or 0
     floor_all = max(min_pattern, pattern_share * n_texts)
     floors = view("floors", per_source.selectExpr("source", f"greatest({min_pattern}, {pattern_share} * n) AS floor"))
     common = view("common", materialize(spark.sql(f"""
       SELECT w FROM (SELECT explode(array_distinct(t)) AS w FROM {words})
-      WHERE w RLIKE '^\\\\p{{L}}' GROUP BY w HAVING count(*) >= {max(min_word_texts, common_share * n_texts)}"""), "common_words"))
+      WHERE w <> '' GROUP BY w HAVING count(*) >= {max(min_word_texts, common_share * n_texts)}"""), "common_words"))
 
     def shape(column: str, joined: str) -> str:
-        return f"CASE WHEN {joined} IS NOT NULL OR NOT {column} RLIKE '^\\\\p{{L}}' THEN {column} WHEN {column} RLIKE '^\\\\p{{Lu}}' THEN 'Xx' ELSE 'xx' END"
+        return f"CASE WHEN {joined} IS NOT NULL OR lower({column}) = upper({column}) THEN {column} WHEN left({column}, 1) <> lower(left({column}, 1)) THEN 'Xx' ELSE 'xx' END"
 
     def shaped(rows: str, *keep: str) -> DataFrame:
         """Trigrams (ta, tb, tc) of ``rows`` with rare words by their shape, as a, b, c."""
@@ -109,11 +120,11 @@ def find_truncated(docs: DataFrame, item: str, text: str, source: str, terminal_
           FROM {rows} r LEFT JOIN {common} x ON ta = x.w LEFT JOIN {common} y ON tb = y.w LEFT JOIN {common} z ON tc = z.w""")
 
     every = view("every", spark.sql(f"""
-      SELECT source, copy, g.ta, g.tb, g.tc, g.last FROM (
-        SELECT source, copy, explode(transform(sequence(3, size(t)), i -> struct(t[i - 3] AS ta, t[i - 2] AS tb, t[i - 1] AS tc, i = size(t) AS last))) AS g FROM {words} WHERE size(t) > 2)"""))
-    counted = shaped(every, "source", "copy", "last")
-    inside = counted.filter("NOT last").groupBy("source", "a", "b", "c").agg(F.count(F.lit(1)).alias("inside"), F.lit(0).cast("bigint").alias("terminal"))
-    ends = view("ends", materialize(shaped(view("last", spark.sql(f"SELECT item, source, copy, marked, element_at(t, -1) AS word, element_at(t, -3) AS ta, element_at(t, -2) AS tb, element_at(t, -1) AS tc FROM {words} WHERE size(t) > 2")), "item", "source", "copy", "marked", "word"), "ends"))
+      SELECT source, g.ta, g.tb, g.tc FROM (
+        SELECT source, explode(transform(sequence(3, size(t) - 1), i -> struct(t[i - 3] AS ta, t[i - 2] AS tb, t[i - 1] AS tc))) AS g FROM {words} WHERE size(t) > 3)"""))
+    inside = shaped(every, "source").groupBy("source", "a", "b", "c").agg(F.count(F.lit(1)).alias("inside"), F.lit(0).cast("bigint").alias("terminal"))
+    last = view("last", spark.sql(f"SELECT item, source, copy, marked, element_at(t, -1) AS word, element_at(t, -3) AS ta, element_at(t, -2) AS tb, element_at(t, -1) AS tc FROM {tails} WHERE size(t) > 2"))
+    ends = view("ends", materialize(shaped(last, "item", "source", "copy", "marked", "word"), "ends"))
     # a text that carries a mark tells nothing about how texts end
     terminal = spark.sql(f"SELECT source, a, b, c, CAST(0 AS bigint) AS inside, count(DISTINCT copy) AS terminal FROM {ends} WHERE NOT marked GROUP BY source, a, b, c")
     tri = view("tri", materialize(inside.unionByName(terminal).groupBy("source", "a", "b", "c").agg(F.sum("inside").alias("inside"), F.sum("terminal").alias("terminal")), "trigrams"))
@@ -134,7 +145,7 @@ def find_truncated(docs: DataFrame, item: str, text: str, source: str, terminal_
         seen = f"(SELECT {by}, c, sum(inside) AS longer_n, sum(inside) + greatest(0, sum(terminal) - 1 - sqrt(sum(terminal))) AS n FROM {tri} GROUP BY {by}, c)"
         same = lambda x: " AND ".join(f"q.{c} = {x}.{c}" for c in by.split(", "))
         return f"""SELECT q.source, q.a, q.b, q.c, q.word FROM {asked} q
-        JOIN (SELECT * FROM {seen} WHERE longer_n >= {floor_all}) l ON {same('l')}
+        JOIN (SELECT * FROM {seen} WHERE longer_n >= {floor_all}) l ON {same('l')} AND left(q.word, 1) = left(l.c, 1)
         LEFT JOIN {seen} o ON {same('o')} AND q.word = o.c
         WHERE q.word RLIKE '^[\\\\p{{L}}0-9]' AND startswith(l.c, q.word) AND l.c <> q.word AND coalesce(o.n, 0) < {OWN_WORD} * l.longer_n"""
 
@@ -165,7 +176,7 @@ def find_truncated(docs: DataFrame, item: str, text: str, source: str, terminal_
     keyed = spark.table(ends).select("item", "source", "marked", F.struct("source", "a", "b", "c", "word").alias("key"))
     judged = skew.salted_join(keyed, verdicts, "key", "v_key", "left", hot_rows, spread="item").select("item", "source", F.when(F.col("marked"), "mark").otherwise(F.col("why")).alias("reason"))
     rest = spark.sql(f"SELECT item, source, CAST(NULL AS string) AS reason FROM {base} b WHERE raw IS NULL OR lower(trim({BLANKS}, raw)) IN ({', '.join(_text(x) for x in FILLERS)})")
-    only_mark = spark.sql(f"SELECT item, source, CASE WHEN marked THEN 'mark' END AS reason FROM {words} WHERE size(t) <= 2")
+    only_mark = spark.sql(f"SELECT item, source, CASE WHEN marked THEN 'mark' END AS reason FROM {tails} WHERE size(t) <= 2")
     documents = judged.unionByName(rest).unionByName(only_mark).select("item", "source", F.col("reason").isNotNull().alias("truncated"), "reason")
     sources = documents.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("truncated").alias("n_truncated")).withColumn("truncated_share", F.round(F.col("n_truncated") / F.col("n_texts"), 6))
     return Truncation(documents, sources)
