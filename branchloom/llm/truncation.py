@@ -61,10 +61,10 @@ def find_truncated(docs: DataFrame, item: str, text: str, source: str, terminal_
 
     Texts are cut into words, numbers (known by their length), signs and line
     ends. Words that stand in few texts are known by their shape only, so that
-    names share one pattern. Every trigram of every text is counted per source,
-    inside (something follows) and terminal (the text ends; equal texts count
-    once). A text is cut off if its last trigram is frequent inside and almost
-    never terminal. A last word that a frequent trigram with the same
+    names share one pattern. Every trigram is counted per source, inside
+    (something follows) and terminal (the text ends), both over the same texts:
+    equal texts of a source count once, marked ones not at all. A text is cut
+    off if its last trigram is frequent inside and almost never terminal. A last word that a frequent trigram with the same
     beginning continues (`restor` for `restored`) is cut inside. Where a
     source shows a trigram too rarely, its last two tokens decide, then the
     last one, then all sources together. Marks of continuation and damaged
@@ -97,12 +97,15 @@ def find_truncated(docs: DataFrame, item: str, text: str, source: str, terminal_
     def tokens(part: str) -> str:
         return f"transform(regexp_extract_all({part}, {_text(TOKEN)}, 0), w -> CASE WHEN w >= '0' AND w < ':' THEN repeat('0', least(3, length(w))) ELSE w END)"
 
-    words = view("words", spark.sql(f"SELECT source, concat(array('', ''), {tokens('body')}) AS t FROM {texts}"))
+    # all counts, sizes and floors are taken over these rows: a text counts once per source, however many copies it has,
+    # and one that carries a mark takes no part, as it tells nothing about how texts end
+    bodies = view("bodies", materialize(spark.sql(f"SELECT source, body FROM {texts} WHERE NOT marked GROUP BY source, body"), "bodies"))
+    words = view("words", spark.sql(f"SELECT source, concat(array('', ''), {tokens('body')}) AS t FROM {bodies}"))
     # the last three tokens of a text are those of its tail, if that has more than three; else the whole text is cut
     tails = view("tails", spark.sql(f"""
       SELECT item, source, copy, marked, concat(array('', ''), CASE WHEN size(tail) > 3 THEN tail ELSE {tokens('body')} END) AS t
       FROM (SELECT item, source, body, xxhash64(body) AS copy, marked, {tokens(f'right(body, {TAIL})')} AS tail FROM {texts})"""))
-    per_source = materialize(spark.sql(f"SELECT source, count(*) AS n FROM {texts} GROUP BY source"), "source_sizes")
+    per_source = materialize(spark.sql(f"SELECT source, count(*) AS n FROM {bodies} GROUP BY source"), "source_sizes")
     n_texts = per_source.agg(F.sum("n")).first()[0] or 0
     floor_all = max(min_pattern, pattern_share * n_texts)
     floors = view("floors", per_source.selectExpr("source", f"greatest({min_pattern}, {pattern_share} * n) AS floor"))
@@ -125,7 +128,6 @@ def find_truncated(docs: DataFrame, item: str, text: str, source: str, terminal_
     inside = shaped(every, "source").groupBy("source", "a", "b", "c").agg(F.count(F.lit(1)).alias("inside"), F.lit(0).cast("bigint").alias("terminal"))
     last = view("last", spark.sql(f"SELECT item, source, copy, marked, element_at(t, -1) AS word, element_at(t, -3) AS ta, element_at(t, -2) AS tb, element_at(t, -1) AS tc FROM {tails} WHERE size(t) > 2"))
     ends = view("ends", materialize(shaped(last, "item", "source", "copy", "marked", "word"), "ends"))
-    # a text that carries a mark tells nothing about how texts end
     terminal = spark.sql(f"SELECT source, a, b, c, CAST(0 AS bigint) AS inside, count(DISTINCT copy) AS terminal FROM {ends} WHERE NOT marked GROUP BY source, a, b, c")
     tri = view("tri", materialize(inside.unionByName(terminal).groupBy("source", "a", "b", "c").agg(F.sum("inside").alias("inside"), F.sum("terminal").alias("terminal")), "trigrams"))
     asked = view("asked", spark.sql(f"SELECT DISTINCT source, a, b, c, word FROM {ends}"))

@@ -215,6 +215,21 @@ def test_truncation(spark):
     assert {r.source: (r.n_texts, r.n_truncated) for r in t.sources.collect()} == {"notes": (1503, len(found)), "": (1, 0), "other": (1, 0)}
 
 
+def test_copies_of_one_text_cut_no_others(spark):
+    r = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    line = lambda: " ".join(r.choice(words) for _ in range(6)) + "."
+    docs = [(i, f"{line()} {line()} {line()}", "notes") for i in range(1000)]
+    whole = {2000 + i for i in range(10)}
+    docs += [(i, f"{line()} {line()} so we rest here.", "notes") for i in whole]
+    docs += [(3000 + i, f"{line()} so we rest here. {line()}", "notes") for i in range(505)]
+    copied = docs[-1][1]
+    docs[-505:] = [(i, copied, source) for i, _, source in docs[-505:]]
+    df = spark.createDataFrame(docs, "item int, text string, source string")
+    found = {x.item for x in find_truncated(df, "item", "text", "source").documents.filter("truncated").collect()}
+    assert not found & whole
+
+
 def test_truncation_of_tiny_tables(spark):
     empty = spark.createDataFrame([], "doc int, text string, source string")
     assert find_truncated(empty, "doc", "text", "source").documents.count() == 0
