@@ -126,8 +126,17 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    out = descendants(_resolved(spark, d, True), ["source_table"])
-    return out.groupBy("source_table", "ancestor_id").agg(F.count(F.lit(1)).alias("n_descendants"), F.sum(F.when(F.col("distance") == 1, 1).otherwise(0)).alias("n_children"), F.max("distance").alias("height"), F.sum(F.pmod(F.crc32("descendant_id"), F.lit(1_000_003))).alias("descendants_check"))
+    """One row for each node and each node below it; a node without any has no row here."""
+    return descendants(_resolved(spark, d, True), ["source_table"])
+
+
+@query
+def p4_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each node, with zeros where nothing is below it and nulls for nodes on or below circles."""
+    r = _resolved(spark, d, True)
+    n = descendants(r, ["source_table"]).groupBy("source_table", F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_descendants"), F.count_if(F.col("distance") == 1).alias("n_children"), F.max("distance").alias("height"))
+    counts = [F.when(F.col("depth") >= 0, F.coalesce(c, F.lit(0))).alias(c) for c in ("n_descendants", "n_children", "height")]
+    return r.select("source_table", "node_id", "depth").join(n, ["source_table", "node_id"], "left").select("source_table", "node_id", *counts)
 
 
 _FOREST = f"""links AS (SELECT t, id, min(up) AS up FROM (SELECT 'raw_gene_features' AS t, {k('id')} AS id, {k('parent')} AS up FROM raw_gene_features
@@ -141,6 +150,12 @@ low AS (SELECT w.t, w.start_id, min(w.id) AS root FROM walk w JOIN ring r ON r.t
 SQL["p4_found"] = f"""WITH RECURSIVE {_FOREST}, {_LOST}
 SELECT t AS source_table, id AS node_id, root AS root_id, depth FROM down UNION ALL SELECT t, start_id, root, -1 FROM low"""
 SQL["p4_paths"] = f"""WITH RECURSIVE {_FOREST} SELECT l.t AS source_table, l.id AS node_id, coalesce(d.depth, -1) AS depth, d.path FROM links l LEFT JOIN down d ON d.t = l.t AND d.id = l.id"""
+_PAIRS = """pairs AS (SELECT d.t, l.up AS anc, d.id, 1::BIGINT AS distance FROM down d JOIN links l ON l.t = d.t AND l.id = d.id WHERE d.depth > 0
+  UNION ALL SELECT p.t, l.up, p.id, p.distance + 1 FROM pairs p JOIN down d ON d.t = p.t AND d.id = p.anc JOIN links l ON l.t = d.t AND l.id = d.id WHERE d.depth > 0)"""
+SQL["p4_descendants"] = f"""WITH RECURSIVE {_FOREST}, {_PAIRS} SELECT t AS source_table, anc AS ancestor_id, id AS descendant_id, distance FROM pairs"""
+SQL["p4_descendant_counts"] = f"""WITH RECURSIVE {_FOREST}, {_PAIRS}, n AS (SELECT t, anc, count(*) AS n, count(*) FILTER (WHERE distance = 1) AS kids, max(distance) AS height FROM pairs GROUP BY ALL)
+SELECT l.t AS source_table, l.id AS node_id, CASE WHEN d.id IS NOT NULL THEN coalesce(n, 0) END AS n_descendants, CASE WHEN d.id IS NOT NULL THEN coalesce(kids, 0) END AS n_children, CASE WHEN d.id IS NOT NULL THEN coalesce(height, 0) END AS height
+FROM links l LEFT JOIN down d ON d.t = l.t AND d.id = l.id LEFT JOIN n ON n.t = l.t AND n.anc = l.id"""
 
 
 # --- 6: nested records -----------------------------------------------------

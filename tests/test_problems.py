@@ -136,6 +136,34 @@ def test_long_chain_circle_and_descendants(spark):
     assert descendants(r).count() == 40 * 39 // 2
 
 
+def test_p4_descendants_come_out_as_pairs(spark):
+    up = {}
+    for name, node, parent in (("raw_gene_features", "id", "parent"), ("species_tree", "node_id", "parent_id")):
+        clean = lambda x: None if x is None or x.strip(" \t\r\n").lower() in ("", ".", "na") else x.strip(" \t\r\n").lower()
+        for x in spark.read.parquet(f"{SMALL}/{name}.parquet").select(node, parent).collect():
+            if clean(x[0]) is not None:
+                up.setdefault((name, clean(x[0])), []).append(clean(x[1]))
+    up = {n: min((x for x in ups if x is not None), default=None) for n, ups in up.items()}
+    pairs, circular = [], set()
+    for t, n in up:
+        chain, at = [], up[t, n]
+        while at is not None and (t, at) in up and len(chain) <= len(up):
+            chain.append(at)
+            at = up[t, at]
+        if len(chain) > len(up):
+            circular.add((t, n))
+        else:
+            pairs.extend((t, a, n, i + 1) for i, a in enumerate(chain))
+    got = entry.queries()["p4_descendants"](spark, SMALL)
+    assert sorted(tuple(x) for x in got.select("source_table", "ancestor_id", "descendant_id", "distance").collect()) == sorted(pairs)
+    below = {n: [] for n in up}
+    for t, a, _, distance in pairs:
+        below[t, a].append(distance)
+    want = {n: (None, None, None) if n in circular else (len(b), b.count(1), max(b, default=0)) for n, b in below.items()}
+    counts = entry.queries()["p4_descendant_counts"](spark, SMALL)
+    assert {(x.source_table, x.node_id): (x.n_descendants, x.n_children, x.height) for x in counts.collect()} == want
+
+
 # --- nested records --------------------------------------------------------
 
 
