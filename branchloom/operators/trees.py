@@ -110,8 +110,16 @@ def two_state_loglik(tree: Topology, tip_states: dict[str, int], gain: float, lo
     return math.log(float(root @ like[-1])) + scale
 
 
-#: Rates of the discrete grid.
+#: Rates inside the grid that the fit starts from.
 RATES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.25, 1.5)
+#: Bounds of every fitted rate.
+RATE_MIN, RATE_MAX = 1e-8, 100.0
+#: The grid that the fit starts from: RATES, and two rates a decade between the bounds.
+START_RATES = tuple(sorted({*RATES, *np.geomspace(RATE_MIN, RATE_MAX, 21).round(10).tolist()}))
+#: Best local maxima of the grid that are refined.
+STARTS = 6
+#: A start has converged if no step raises its log likelihood by more than this.
+GAIN_TOL = 1e-10
 
 
 def grid_loglik(tree: Topology, tip_states: dict[str, int], gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
@@ -134,14 +142,95 @@ def grid_loglik(tree: Topology, tip_states: dict[str, int], gain: np.ndarray, lo
     return np.log((loss * like[-1, :, 0] + gain * like[-1, :, 1]) / total) + scale
 
 
+def refine(f, starts: np.ndarray, max_rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximise ``f`` (an array of points to values) within the rate bounds from every start: points, values, converged.
+
+    Points are log rates. Damped Newton steps with numeric derivatives, taken
+    for all starts at once; coordinates that press against a bound stay on it,
+    and the bounds themselves are tried in every round, so that no fit creeps towards one.
+    """
+    low, high, h = math.log(RATE_MIN), math.log(RATE_MAX), 1e-4
+    x = np.clip(np.asarray(starts, dtype=float), low, high)
+    k, unit = x.shape[1], np.eye(x.shape[1])
+    value, done = f(x), np.zeros(len(x), dtype=bool)
+    damping = 10.0 ** np.arange(-6, 7)
+    for _ in range(max_rounds):
+        todo = np.flatnonzero(~done)
+        if len(todo) == 0:
+            break
+        at = x[todo]
+        moves = np.concatenate([unit, -unit, *[(a * unit[i] + b * unit[j])[None] for i in range(k) for j in range(i) for a in (1, -1) for b in (1, -1)]]) * h
+        around = f((at[:, None, :] + moves[None]).reshape(-1, k)).reshape(len(todo), -1)
+        slope = (around[:, :k] - around[:, k : 2 * k]) / (2 * h)
+        bend = np.zeros((len(todo), k, k))
+        for i in range(k):
+            bend[:, i, i] = (around[:, i] + around[:, k + i] - 2 * value[todo]) / h**2
+        place = 2 * k
+        for i in range(k):
+            for j in range(i):
+                pp, pm, mp, mm = around[:, place : place + 4].T
+                bend[:, i, j] = bend[:, j, i] = (pp - pm - mp + mm) / (4 * h**2)
+                place += 4
+        free = ~(((at <= low) & (slope < 0)) | ((at >= high) & (slope > 0)))
+        slope = np.where(free, slope, 0.0)
+        bend = np.where(free[:, :, None] & free[:, None, :], bend, 0.0)
+        w, v = np.linalg.eigh(-bend)
+        along = np.einsum("nji,nj->ni", v, slope)
+        steps = np.einsum("nij,ndj->ndi", v, along[:, None, :] / (np.abs(w)[:, None, :] + damping[None, :, None]))
+        ends = np.repeat(at[:, None, :], 2 * k, axis=1)
+        for i in range(k):
+            ends[:, 2 * i, i], ends[:, 2 * i + 1, i] = low, high
+        tried = np.concatenate([np.clip(at[:, None, :] + np.clip(steps, -4.0, 4.0), low, high), ends], axis=1)
+        reached = f(tried.reshape(-1, k)).reshape(len(todo), -1)
+        best = reached.argmax(axis=1)
+        rows = np.arange(len(todo))
+        better = reached[rows, best] > value[todo]
+        done[todo] = ~(reached[rows, best] > value[todo] + GAIN_TOL)
+        x[todo[better]], value[todo[better]] = tried[rows, best][better], reached[rows, best][better]
+    return x, value, done
+
+
+def _best(f, starts: np.ndarray) -> tuple[np.ndarray, float, bool]:
+    """The best refined point; of equal values the one with the smallest rates."""
+    x, value, done = refine(f, starts)
+    top = np.flatnonzero(value >= value.max() - 1e-9)
+    at = min(top, key=lambda i: tuple(np.round(x[i], 6)))
+    return x[at], float(value[at]), bool(done[at])
+
+
+def fit_rates(tree: Topology, tip_states: dict[str, int]) -> tuple[float, float, float, float, float, str]:
+    """Maximum likelihood of one rate and of gain and loss within the bounds: er_loglik, er_rate, ard_loglik, ard_gain, ard_loss, status.
+
+    The best local maxima of a grid are refined until no step raises the log
+    likelihood. The status is `impossible` (no rates give the states: rates are
+    NaN), `no_observed_contrast` (fewer than two states seen), `not_converged`,
+    `boundary_limited` (a rate lies on a bound) or `success`.
+    """
+    r = np.log(START_RATES)
+    f = lambda x: grid_loglik(tree, tip_states, np.exp(x[:, 0]), np.exp(x[:, -1]))
+    n = len(r)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        grid = f(np.stack([np.repeat(r, n), np.tile(r, n)], axis=1)).reshape(n, n)
+    if not np.isfinite(grid).all():
+        return -math.inf, math.nan, -math.inf, math.nan, math.nan, "impossible"
+    wide = np.pad(grid, 1, constant_values=-np.inf)
+    around = np.max([wide[1 + i : n + 1 + i, 1 + j : n + 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], axis=0)
+    tops = sorted(zip(*np.nonzero(grid >= around)), key=lambda ij: (-grid[ij], ij))[:STARTS]
+    line = np.diag(grid)
+    beside = np.maximum(np.append(line[1:], -np.inf), np.append(-np.inf, line[:-1]))
+    peaks = sorted(np.flatnonzero(line >= beside), key=lambda i: (-line[i], i))[:STARTS]
+    er_x, er, er_done = _best(f, r[peaks][:, None])
+    ard_x, ard, ard_done = _best(f, np.concatenate([r[np.array(tops)], [[er_x[0], er_x[0]]]]))
+    at_bound = np.isclose([er_x[0], *ard_x], math.log(RATE_MIN), atol=1e-5).any() or np.isclose([er_x[0], *ard_x], math.log(RATE_MAX), atol=1e-5).any()
+    status = "no_observed_contrast" if len(set(tip_states[t] for t in tree.tips if tip_states.get(t) is not None)) < 2 else "not_converged" if not (er_done and ard_done) else "boundary_limited" if at_bound else "success"
+    gain, loss = np.exp(ard_x)
+    return er, float(np.exp(er_x[0])), ard, float(gain), float(loss), status
+
+
 def fit_two_state(tree: Topology, tip_states: dict[str, int]) -> tuple[float, float, float, float]:
-    """Best equal-rate and best gain/loss log likelihood on the grid: er_loglik, er_rate, ard_loglik, ard_ratio (gain / loss). Of equal fits the smaller rates."""
-    r = np.array(RATES)
-    gain, loss = np.repeat(r, len(r)), np.tile(r, len(r))
-    all_ = np.round(grid_loglik(tree, tip_states, gain, loss), 10)
-    same = np.flatnonzero(gain == loss)
-    er, ard = same[np.argmax(all_[same])], int(np.argmax(all_))
-    return float(all_[er]), float(gain[er]), float(all_[ard]), float(gain[ard] / loss[ard])
+    """er_loglik, er_rate, ard_loglik and ard_ratio (gain / loss) of fit_rates."""
+    er, rate, ard, gain, loss, _ = fit_rates(tree, tip_states)
+    return er, rate, ard, gain / loss
 
 
 def per_pattern(cells: DataFrame, tree: list[tuple[str, str | None, float]], kernel, schema: str) -> DataFrame:

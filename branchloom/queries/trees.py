@@ -158,8 +158,13 @@ def sankoff_parsimony(spark, d):
 
 @query()
 def binary_ctmc(spark, d):
-    """Equal-rate and gain/loss fits per family with likelihood ratio and p value."""
-    f = _scored(spark, d, trees.fit_two_state, "pattern string, er_loglik double, er_rate double, ard_loglik double, ard_ratio double")
+    """Equal-rate and gain/loss maximum likelihood fits per family with likelihood ratio, p value and the status of the fit."""
+
+    def kernel(topology, states):
+        er, rate, ard, gain, loss, status = trees.fit_rates(topology, states)
+        return er, rate, ard, gain / loss, status
+
+    f = _scored(spark, d, kernel, "pattern string, er_loglik double, er_rate double, ard_loglik double, ard_ratio double, fit_status string")
     return f.withColumn("lrt", likelihood_ratio(C("er_loglik"), C("ard_loglik"))).withColumn("p_value", chi_square_sf1("lrt"))
 
 

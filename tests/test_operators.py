@@ -11,7 +11,7 @@ from branchloom.functions import sequence, spans, text
 from branchloom.functions.values import key, strand_sign
 from branchloom.operators.joins import densify, nearest_before, overlap_join, reciprocal_best, upsert
 from branchloom.operators.statistics import bh_adjust, chi_square_sf1
-from branchloom.operators.trees import Topology, fit_two_state, sankoff, transition, two_state_loglik
+from branchloom.operators.trees import RATE_MAX, RATE_MIN, Topology, fit_rates, fit_two_state, grid_loglik, sankoff, transition, two_state_loglik
 from branchloom.plans import skew
 from branchloom.sources import readers, writers
 from branchloom.streaming import events
@@ -51,6 +51,21 @@ def test_two_state_likelihood_against_enumeration():
     assert np.allclose(transition(0.3, 0.2, 0.0), np.eye(2)) and np.allclose(transition(1, 2, 3).sum(1), 1)
 
 
+def test_two_state_fit_is_a_maximum():
+    names = [f"t{i}" for i in range(12)]
+    nodes = [("r", None, 0.0), *[(f"x{i}", "r", 0.1 + 0.05 * i) for i in range(4)], *[(t, f"x{i % 4}", 0.2 + 0.07 * i) for i, t in enumerate(names)]]
+    tree, fine = Topology(nodes), np.geomspace(RATE_MIN, RATE_MAX, 201)
+    for k, seen in enumerate(("101100111011", "000000000001", "110000001111", "111111111111")):
+        states = {t: int(v) for t, v in zip(names, seen)}
+        er, rate, ard, gain, loss, status = fit_rates(tree, states)
+        assert math.isclose(two_state_loglik(tree, states, rate, rate), er, abs_tol=1e-9) and math.isclose(two_state_loglik(tree, states, gain, loss), ard, abs_tol=1e-9)
+        assert er >= grid_loglik(tree, states, fine, fine).max() - 1e-9
+        assert ard >= max(er, grid_loglik(tree, states, np.repeat(fine, 201), np.tile(fine, 201)).max()) - 1e-9
+        assert RATE_MIN <= min(rate, gain, loss) * (1 + 1e-9) and max(rate, gain, loss) <= RATE_MAX * (1 + 1e-9)
+        assert (status == "no_observed_contrast") == (k == 3) and status != "not_converged"
+    assert fit_rates(Topology([("r", None, 0.0), ("a", "r", 0.0), ("b", "r", 0.0)]), {"a": 0, "b": 1})[-1] == "impossible"
+
+
 def test_overlap_join(spark):
     rows = [("k", 1, 5), ("k", 5, 9), ("k", 10, 40), ("k", 12, 13), ("j", 1, 100)]
     df = spark.createDataFrame(rows, "g string, s bigint, e bigint")
