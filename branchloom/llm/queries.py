@@ -12,7 +12,7 @@ from branchloom.llm.packing import pack, sized_on_curve
 from branchloom.llm.tokens import token_count
 from branchloom.llm.topn import top_n
 from branchloom.llm.truncation import find_truncated
-from branchloom.plans.lineage import materialize
+from branchloom.plans.lineage import collect_bounded, materialize
 
 QUERIES, SQL = {}, {}
 
@@ -86,7 +86,7 @@ SQL["p5_ranked"] = _RANKED
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    kinds = {key_: cap for key_, cap in ((r.container.strip().lower(), r.capacity_tokens) for r in _table(spark, d, "container_sizes").limit(1000).collect() if r.container and r.capacity_tokens and r.capacity_tokens > 0)}
+    kinds = {key_: cap for key_, cap in ((r.container.strip().lower(), r.capacity_tokens) for r in collect_bounded(_table(spark, d, "container_sizes"), 1000, "container_sizes") if r.container and r.capacity_tokens and r.capacity_tokens > 0)}
     sized = materialize(sized_on_curve(_table(spark, d, "documents"), "doc_id", "text"), "sized")
     return pack(sized, kinds)
 
@@ -111,7 +111,7 @@ DOMAINS = {"curation_notes": "prose", "locus_reports": "prose", "review_threads"
 
 def _mixture(spark: SparkSession, d: str) -> Mixture:
     sized = materialize(_table(spark, d, "documents").select(F.col("doc_id").alias("item"), key("source").alias("source"), key("lang").alias("language"), token_count(F.col("text"), spark).alias("n_tokens")), "sized")
-    targets = [(r.source, r.target_share, r.max_repeats) for r in _table(spark, d, "mix_targets").select(key("source").alias("source"), "target_share", "max_repeats").limit(10_000).collect()]
+    targets = [(r.source, r.target_share, r.max_repeats) for r in collect_bounded(_table(spark, d, "mix_targets").select(key("source").alias("source"), "target_share", "max_repeats"), 10_000, "mix_targets")]
     return mix(sized, targets, DOMAINS)
 
 

@@ -45,6 +45,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def collect_bounded(df: DataFrame, most: int, what: str) -> list:
+    """All rows of a table that is small by its meaning; an error, not a part of it, where it has more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: more than {most} rows")
+    return rows
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the files behind a materialized table that nothing reads any more."""
     path = getattr(df, "_branchloom_path", None)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from branchloom.functions.text import attribute
+from branchloom.plans.lineage import collect_bounded
 
 GFF_FIELDS = ["seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes"]
 
@@ -112,5 +113,5 @@ def parse_newick(text: str) -> list[tuple[str, str | None, str | None, float | N
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
     """Tree rows of a file with one Newick tree; a tree is small, it is parsed on the driver."""
-    text = "".join(r.value for r in spark.read.text(path).limit(100_000).collect())
+    text = "".join(r.value for r in collect_bounded(spark.read.text(path), 100_000, path))
     return spark.createDataFrame(parse_newick(text), "node_id string, parent_id string, label string, branch_length double")

@@ -13,6 +13,7 @@ from branchloom.operators.joins import densify, nearest_before, overlap_join, re
 from branchloom.operators.statistics import bh_adjust, chi_square_sf1
 from branchloom.operators.trees import RATE_MAX, RATE_MIN, Topology, fit_rates, fit_two_state, grid_loglik, sankoff, transition, two_state_loglik
 from branchloom.plans import skew
+from branchloom.plans.lineage import collect_bounded
 from branchloom.sources import readers, writers
 from branchloom.streaming import events
 
@@ -160,3 +161,12 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = events.windowed_counts(e)
     assert batch.agg(F.sum("n")).first()[0] == e.count()
     assert events.sessions(e).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_small_tables_are_read_whole_or_not_at_all(spark, tmp_path):
+    assert len(collect_bounded(spark.range(5), 5, "five")) == 5
+    with pytest.raises(ValueError, match="more than 4 rows"):
+        collect_bounded(spark.range(5), 4, "five")
+    (tmp_path / "t.nwk").write_text("(a,b)r;\n" + "\n" * 100_000)
+    with pytest.raises(ValueError, match="more than 100000 rows"):
+        readers.read_newick(spark, str(tmp_path / "t.nwk"))
