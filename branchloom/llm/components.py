@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchloom.plans import skew
 from branchloom.plans.lineage import materialize, release
 
-#: Edges one task joins at most while forests are merged.
-MAX_EDGES = 4_000_000
-#: Edges per task in the first pass are the scan's own partitions; later passes aim at this.
-EDGES_PER_TASK = 1_000_000
+#: Edges one task joins; a level has as many partitions as its edges need at this size.
+EDGES_PER_TASK = 200_000
 
 
 def local_forest(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[pa.Array, pa.Array]:
@@ -45,66 +43,115 @@ def local_forest(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[pa.Array, pa.A
     return names.take(pa.array(child)), names.take(pa.array(parent[child]))
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    del got
-    node, root = local_forest(t.column(0), t.column(1))
-    for i in range(0, len(node), 50_000):
-        yield pa.RecordBatch.from_arrays([node.slice(i, 50_000), root.slice(i, 50_000)], names=["node", "root"])
+def _forest(bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spanning forests of a partition's edges. What is held is shrunk to its forest at ``bound`` edges and handed on once the forest alone fills half of that, so memory doesn't follow the partition's size."""
+    names = ["node", "root"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-def connected_components(edges: DataFrame, left: str, right: str, max_edges: int = MAX_EDGES, edges_per_task: int = EDGES_PER_TASK, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+        def shrink() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            return pa.RecordBatch.from_arrays(list(local_forest(t.column(0), t.column(1))), names=names)
+
+        def give(stars: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for i in range(0, stars.num_rows, 50_000):
+                yield stars.slice(i, 50_000)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(pa.RecordBatch.from_arrays(b.columns, names=names))
+            n += b.num_rows
+            if n > bound:
+                stars = shrink()
+                if stars.num_rows > bound // 2:
+                    yield from give(stars)
+                    held, n = [], 0
+                else:
+                    held, n = [stars], stars.num_rows
+        if held:
+            yield from give(shrink())
+
+    return run
+
+
+def connected_components(edges: DataFrame, left: str, right: str, edges_per_task: int = EDGES_PER_TASK, hot_rows: int = skew.HOT_ROWS, trace: list | None = None) -> DataFrame:
     """node and root for every node of a component of two or more; root is the component's smallest id.
 
     Union-find runs inside each partition of the edges and keeps only a
-    spanning forest. The forests are merged level by level, in fewer and fewer
-    partitions of bounded size, by the hash of the node, so that all that is
-    known of a node meets. When one partition can hold what is left, it gives
-    the global components. Where it can't, the last levels run as rounds of
-    hooking (all roots of a node are tied to the smallest) and jumping (root of
-    the root) over the whole cluster until nothing changes; no task then holds
-    more than its share.
+    spanning forest, as stars. Forests are then merged in levels. A level
+    spreads the edges it got evenly over partitions of ``edges_per_task`` and
+    joins each partition's edges by union-find. A node that got several roots
+    ties them to the smallest of them; the node itself, and every root tied to
+    a smaller one, is settled on the root it leads to and set aside. Only what
+    ties roots still open goes on as the edges of the next level. At least half
+    of a level's nodes are settled, so levels shrink until one partition holds
+    what is left; its forest is final. The nodes set aside get their groups
+    by joins from the last level back to the first. No task ever
+    holds more than its share, whatever the number of edges, one node's edges
+    or one component's nodes.
+
+    ``trace``, if given, collects (edges, partitions) of every level.
 
     Defined results: edges with a null end tie nothing, an edge of a node with
     itself neither; repeated edges and both directions are one; no edges give
     no rows. Other columns are ignored.
     """
     pairs = edges.select(F.col(f"`{left}`").cast("string").alias("node"), F.col(f"`{right}`").cast("string").alias("root")).filter("node IS NOT NULL AND root IS NOT NULL AND node <> root")
-    forest = materialize(pairs.mapInArrow(_forest, "node string, root string"), "forest")
-    n = forest.count()
-    last = None
-    while n > max_edges and (last is None or n < 0.8 * last):
-        parts = max(2, -(-n // edges_per_task))
-        merged = materialize(forest.repartition(parts, "node").mapInArrow(_forest, "node string, root string"), "forest")
-        release(forest)
-        forest, last = merged, n
-        n = forest.count()
-    if n <= max_edges:
-        stars = materialize(forest.repartition(1).mapInArrow(_forest, "node string, root string"), "stars")
-        release(forest)
-    else:
-        stars = hook_and_jump(forest, hot_rows)
+    level = materialize(pairs.mapInArrow(_forest(edges_per_task), "node string, root string"), "forest")
+    aside: list[DataFrame] = []
+    while True:
+        n = level.count()
+        parts = max(1, -(-n // edges_per_task))
+        if trace is not None:
+            trace.append((n, parts))
+        merged = materialize(level.repartition(parts, "node", "root").mapInArrow(_forest(edges_per_task if parts > 1 else 2 * n + 1), "node string, root string"), "forest")
+        release(level)
+        if parts == 1:
+            break
+        settled, level = _settle(merged, hot_rows)
+        aside.append(settled)
+        release(merged)
+    stars = merged
+    while aside:
+        settled = aside.pop()
+        final = stars.select(F.col("node").alias("_s"), F.col("root").alias("_final"))
+        back = skew.salted_join(settled, final, "root", "_s", "left", hot_rows, spread="node").select("node", F.coalesce("_final", "root").alias("root"))
+        stars = materialize(back.unionByName(stars), "groups")
     return stars.select("node", "root").unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def hook_and_jump(forest: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Global stars of a forest of (node, root) with root < node, without a task of unbounded size."""
-    cur = forest
-    while True:
-        low = cur.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        many = low.filter("high > low").select(F.col("node").alias("_n"), "low")
-        tied = cur.join(many, F.col("node") == F.col("_n")).filter("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root"))
-        hooked = materialize(low.select("node", F.col("low").alias("root")).unionByName(tied).distinct(), "hooked")
-        one = hooked.groupBy("node").agg(F.min("root").alias("root"))
-        up = one.select(F.col("node").alias("_m"), F.col("root").alias("_top"))
-        jumped = skew.salted_join(hooked, up, "root", "_m", "left", hot_rows, spread="node")
-        after = materialize(jumped.select("node", F.coalesce("_top", "root").alias("root"), F.col("_top").isNotNull().alias("moved")).distinct(), "jumped")
-        release(hooked)
-        release(cur)
-        cur = after
-        still = cur.agg(F.coalesce(F.max(F.col("moved").cast("int")), F.lit(0)), F.count(F.lit(1)), F.count_distinct("node")).first()
-        if still[0] == 0 and still[1] == still[2]:
-            return cur.select("node", "root")
+def _settle(stars: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """One level: (node, root) of the nodes settled on a root that is still open, and the edges left between open roots."""
+    low = stars.withColumn("low", F.min("root").over(Window.partitionBy("node")))  # a node has one row a partition at most
+    low = materialize(low, "low")
+    own = low.select("node", F.col("low").alias("to"), F.lit(0).alias("kind")).distinct()
+    tied = low.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("to")).filter("to < node").withColumn("kind", F.lit(1))
+    # a node leads to its smallest root; a root that is no node anywhere leads to the smallest root it is tied to
+    lead = own.unionByName(tied).groupBy("node").agg(F.min_by("to", "kind").alias("to"))
+    lead = materialize(lead, "lead")
+    done, pending = [], lead
+    while True:  # all leads fall, so following them by doubling ends; those that reached an open root drop out
+        step = lead.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
+        jumped = materialize(skew.salted_join(pending, step, "to", "_n", "left", hot_rows, spread="node").select("node", F.coalesce("_to", "to").alias("to"), F.col("_to").isNull().alias("open")), "jumped")
+        if pending is not lead:
+            release(pending)
+        done.append(jumped.filter("open").select("node", "to"))
+        pending = materialize(jumped.filter("NOT open").select("node", "to"), "pending")
+        if pending.isEmpty():
+            break
+        lead_next = materialize(jumped.select("node", "to").unionByName(lead.join(jumped.select(F.col("node").alias("_j")), F.col("node") == F.col("_j"), "left_anti")), "lead")
+        release(lead)
+        lead = lead_next
+    settled = done[0]
+    for d in done[1:]:
+        settled = settled.unionByName(d)
+    settled = materialize(settled.select("node", F.col("to").alias("root")), "settled")
+    at = settled.select(F.col("node").alias("_n"), F.col("root").alias("_at"))
+    left = low.filter("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
+    for end in ("node", "root"):
+        other = "root" if end == "node" else "node"
+        left = skew.salted_join(left, at, end, "_n", "left", hot_rows, spread=other).select(F.coalesce("_at", end).alias(end), other)
+    left = materialize(left.filter("node <> root").select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct(), "between")
+    return settled, left

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from branchloom.llm import queries as q
-from branchloom.llm.components import connected_components, hook_and_jump, local_forest
+from branchloom.llm.components import connected_components, local_forest
 from branchloom.llm.mixing import allocate, budget_tree, largest_even_total, leaf_budgets, mix
 from branchloom.llm.packing import DIMENSIONS, hilbert_key, pack, sized_on_curve
 from branchloom.llm.tokens import count_tokens
@@ -42,7 +42,7 @@ def random_edges(seed, n, nodes):
     return [(r.choice([None, *[f"n{i:03}" for i in range(nodes)]]), f"n{r.randrange(nodes):03}") for _ in range(n)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(60)]
 
 
-@pytest.mark.parametrize("kw", [{}, {"max_edges": 20, "edges_per_task": 20}, {"max_edges": 0, "edges_per_task": 10, "hot_rows": 15}])
+@pytest.mark.parametrize("kw", [{}, {"edges_per_task": 40}, {"edges_per_task": 15, "hot_rows": 15}])
 def test_components(spark, kw):
     edges = random_edges(1, 120, 150)
     df = spark.createDataFrame(edges, "root string, node string").repartition(5)
@@ -50,14 +50,27 @@ def test_components(spark, kw):
     assert got == brute_groups(edges)
 
 
+def test_components_merge_in_falling_levels(spark):
+    r = random.Random(4)
+    edges = [(f"n{r.randrange(900):04}", f"n{r.randrange(900):04}") for _ in range(700)] + [("hub", f"n{i:04}") for i in range(0, 400, 9)] + [("zz", f"s{i:03}") for i in range(60)]
+    trace = []
+    df = spark.createDataFrame(edges, "a string, b string").repartition(8)
+    got = {x.node: x.root for x in connected_components(df, "a", "b", edges_per_task=20, hot_rows=50, trace=trace).collect()}
+    assert got == brute_groups(edges)
+    sizes = [n for n, _ in trace]
+    assert len(trace) >= 3 and sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes), trace
+    assert all(n / parts <= 20 for n, parts in trace)
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
     assert connected_components(spark.createDataFrame([("x", "x"), (None, "y")], "a string, b string"), "a", "b").count() == 0
 
 
-def test_hook_and_jump_on_a_long_chain(spark):
-    df = spark.createDataFrame([(f"{i + 1:04}", f"{i:04}") for i in range(200)], "node string, root string").repartition(4)
-    assert {r.root for r in hook_and_jump(df).collect()} == {"0000"}
+def test_components_of_a_long_chain(spark):
+    df = spark.createDataFrame([(f"{i + 1:04}", f"{i:04}") for i in range(300)], "node string, root string").repartition(4)
+    groups = connected_components(df, "node", "root", edges_per_task=60).collect()
+    assert len(groups) == 301 and {r.root for r in groups} == {"0000"}
 
 
 def test_local_forest_spans():
