@@ -95,7 +95,7 @@ def test_p3_against_brute_force(spark):
 # --- top N -----------------------------------------------------------------
 
 
-@pytest.mark.parametrize("kw", [{}, {"heavy_rows": 6, "ranges": 3, "parts": 2}])
+@pytest.mark.parametrize("kw", [{}, {"heavy_share": 0.2, "light_rows": 6, "ranges": 3, "parts": 2}])
 def test_top_n(spark, kw):
     r = random.Random(3)
     rows = [(r.choice(["a", "b", "c", None]), r.choice([0.5, 0.5, 0.7, -0.0, 0.0, None, float("nan")]), f"i{r.randrange(30):02}") for _ in range(120)]
@@ -111,6 +111,11 @@ def test_top_n(spark, kw):
     assert top_n(df.limit(0), "g", "s", "i", 3, **kw).count() == 0
 
 
+def test_p5_sends_its_largest_query_through_the_salted_sort(spark):
+    plan = q.p5_found(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan and "_part" in plan
+
+
 # --- containers ------------------------------------------------------------
 
 
