@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,22 @@ def largest_even_total(leaves: list[tuple[tuple, float, float]]) -> float:
     return min(limits, default=0.0)
 
 
+#: Leaves of a source up to which every choice of border items is tried; beyond it the leaves are rounded one by one.
+TRIED_BORDERS = 12
+
+
+def choose_borders(borders: list[tuple[float, int, float]]) -> list[bool]:
+    """Which border items of a source's leaves to take, given (tokens before it, its tokens, budget): the source's total comes as close to its budget as can be."""
+    short = sum(rest - before for before, _, rest in borders)
+    if len(borders) > TRIED_BORDERS:
+        out = []
+        for before, n, rest in sorted(borders, key=lambda x: -x[1]):
+            out.append(((before, n, rest), abs(short - n) < abs(short)))
+            short -= n * out[-1][1]
+        return [next(out.pop(i)[1] for i, (y, _) in enumerate(out) if y == x) for x in borders]
+    return list(min(product([False, True], repeat=len(borders)), key=lambda take: (abs(short - sum(n for (_, n, _), t in zip(borders, take) if t)), take)))
+
+
 @dataclass
 class Mixture:
     """``rows``: item, domain, language, source, epoch, n_tokens, one row per use. ``shares``: the report per source."""
@@ -90,13 +107,16 @@ def mix(items: DataFrame, targets: list[tuple[str, float, int]], domains: dict[s
     down the same tree; a shortage goes to siblings before ancestors. Without
     ``total_tokens`` the total is the largest at which no source that has
     texts runs short. A leaf takes whole epochs, each a seeded order of its
-    items, and a prefix of one more epoch, up to its budget: the item on the
-    border is taken if the total comes closer to the budget by it. No item is
-    used more than max_repeats times, and none is cut.
+    items, and a prefix of one more epoch, up to its budget. Of the items on
+    the borders of a source's leaves those are taken that bring the source's
+    total closest to its budget. No item is used more than max_repeats times,
+    and none is cut.
 
-    The only data on the driver are one row per leaf (targets x language
-    codes of two or three letters). Prefixes are found from bucket sums, so no
-    task orders a whole leaf.
+    ``domains`` names the domain of each source; a source it doesn't name
+    stands in the domain with the largest weight, so that every target has
+    siblings. The only data on the driver are one row per leaf (targets x
+    language codes of two or three letters). Prefixes are found from bucket
+    sums, so no task orders a whole leaf.
 
     Defined results: items without tokens or without a target source are never
     used; a source in ``targets`` without items reaches 0 and its share goes to
@@ -112,8 +132,14 @@ def mix(items: DataFrame, targets: list[tuple[str, float, int]], domains: dict[s
     wanted = base.filter(F.col("source").isin(*shares)) if shares else base.filter(F.lit(False))
     have = {(r.source, r.language): (r.tokens, r.n) for r in wanted.groupBy("source", "language").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
     per_source = {s: sum(t for (x, _), (t, _) in have.items() if x == s) for s in shares}
-    leaves = [((domains.get(s, "other"), lang, s), shares[s][0] * t / per_source[s], float(t * shares[s][1])) for (s, lang), (t, _) in have.items()]
-    leaves += [((domains.get(s, "other"), "none", s), w, 0.0) for s, (w, _) in shares.items() if not per_source[s]]
+    weights: dict[str, float] = {}
+    for s, (w, _) in shares.items():
+        if s in domains:
+            weights[domains[s]] = weights.get(domains[s], 0.0) + w
+    largest = min(weights, key=lambda x: (-weights[x], x), default="all")
+    domains = {s: domains.get(s, largest) for s in shares}
+    leaves = [((domains[s], lang, s), shares[s][0] * t / per_source[s], float(t * shares[s][1])) for (s, lang), (t, _) in have.items()]
+    leaves += [((domains[s], "none", s), w, 0.0) for s, (w, _) in shares.items() if not per_source[s]]
     total = largest_even_total(leaves) if total_tokens is None else float(total_tokens)
     tree = budget_tree(leaves)
     allocate(tree, total)
@@ -137,7 +163,16 @@ def mix(items: DataFrame, targets: list[tuple[str, float, int]], domains: dict[s
     inside = reached.filter("before + t <= rest")
     border = reached.filter("before + t > rest")  # one bucket of each leaf
     w = Window.partitionBy("source", "language").orderBy("place", "item").rowsBetween(Window.unboundedPreceding, -1)
-    border = border.withColumn("cum", F.col("before") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).filter("cum + n_tokens / 2 <= rest")
+    border = border.withColumn("cum", F.col("before") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).filter("cum < rest")
+    at: dict[str, list] = {}
+    for r in border.filter("cum + n_tokens > rest").select("source", "language", "cum", "n_tokens", "rest").collect():  # one row a leaf
+        at.setdefault(r.source, []).append((r.language, r.cum, r.n_tokens, r.rest))
+    taken = []
+    for s, rows_ in at.items():
+        rows_.sort()
+        taken += [(s, x[0]) for x, yes in zip(rows_, choose_borders([x[1:] for x in rows_])) if yes]
+    taken = spark.createDataFrame(taken, "t_source string, t_language string")
+    border = border.join(F.broadcast(taken), (F.col("source") == F.col("t_source")) & (F.col("language") == F.col("t_language")), "left").filter("cum + n_tokens <= rest OR t_source IS NOT NULL")
     part = inside.select(*cols, F.col("full").alias("epoch"), "n_tokens").unionByName(border.select(*cols, F.col("full").alias("epoch"), "n_tokens"))
     rows = whole.unionByName(part)
 
@@ -146,11 +181,11 @@ def mix(items: DataFrame, targets: list[tuple[str, float, int]], domains: dict[s
     effective = {}
     for (_, _, s), b in budgets.items():
         effective[s] = effective.get(s, 0.0) + b
-    goal = spark.createDataFrame([(s, w, r, effective.get(s, 0.0)) for s, (w, r) in shares.items()], "g_source string, target_share double, max_repeats int, budget_tokens double")
+    goal = spark.createDataFrame([(s, domains[s], w, r, effective.get(s, 0.0)) for s, (w, r) in shares.items()], "g_source string, domain string, target_share double, max_repeats int, budget_tokens double")
     all_used = F.sum("used_tokens").over(Window.partitionBy())  # one row per source
     report = there.join(goal, F.col("source") == F.col("g_source"), "full").withColumn("source", F.coalesce("source", "g_source"))
     report = report.join(F.broadcast(used), F.col("source") == F.col("u_source"), "left").select(
-        "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"),
+        "source", "domain", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"),
         F.round(F.coalesce("budget_tokens", F.lit(0.0)), 3).alias("budget_tokens"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce(F.col("last_epoch") + 1, F.lit(0)).alias("epochs"),
         F.coalesce(F.round(F.col("used_tokens") / all_used, 6), F.lit(0.0)).alias("reached_share"),
     )

@@ -16,9 +16,10 @@ from branchloom.llm.tokens import VOCABULARY, encoding, folder
 DIMENSIONS = 4
 BITS = 10
 BUCKETS = 4096
-#: Neighbours on the curve that are fitted together, and open containers passed on to the next of these blocks.
-BLOCK = 8192
-CARRIED = 512
+#: Neighbours on the curve that are fitted together; open containers passed on to the next of these windows, and for how many windows.
+WINDOW = 256
+CARRIED = 64
+CARRIED_WINDOWS = 4
 ITEMS_PER_TASK = 200_000
 SEED = 20240101
 
@@ -82,27 +83,28 @@ def sized_on_curve(docs: DataFrame, item: str, text: str, vocabulary: str = VOCA
 
 
 class _Packer:
-    """Best fit of decreasing items into open containers, block by block."""
+    """Best fit of decreasing items into open containers, window by window. A container is only filled by the windows next to the one that opened it."""
 
     def __init__(self, capacity: int, first: int):
-        self.capacity, self.next = capacity, first
-        self.open: list[tuple[int, int]] = []  # (free, number), sorted
+        self.capacity, self.next, self.window = capacity, first, 0
+        self.open: list[tuple[int, int, int]] = []  # (free, number, window of its opening), sorted
 
     def fit(self, sizes: list[int]) -> list[int]:
         """Container numbers of the sizes, each at most the capacity."""
         out = [0] * len(sizes)
         for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
             n = sizes[i]
-            at = bisect_left(self.open, (n, -1))
+            at = bisect_left(self.open, (n, -1, -1))
             if at < len(self.open):
-                free, number = self.open.pop(at)
+                free, number, opened = self.open.pop(at)
             else:
-                free, number = self.capacity, self.next
+                free, number, opened = self.capacity, self.next, self.window
                 self.next += 1
             out[i] = number
             if free > n:
-                insort(self.open, (free - n, number))
-        self.open = self.open[-CARRIED:]
+                insort(self.open, (free - n, number, opened))
+        self.open = [x for x in self.open if self.window - x[2] < CARRIED_WINDOWS][-CARRIED:]
+        self.window += 1
         return out
 
 
@@ -112,10 +114,11 @@ def pack(items: DataFrame, capacities: dict[str, int], items_per_task: int = ITE
     Result: container, capacity_tokens, container_no, item, piece_no,
     token_start, n_tokens. An item over the capacity is cut into full pieces
     with a container each and one rest, packed like an item; no other item is
-    cut. Items are range-sorted by (kind, place, item) and neighbours are
-    packed block by block, best fit of decreasing sizes, with the emptiest
-    containers left open for the next block. Equal places (copies) are
-    ordered by item, so they spread over tasks.
+    cut. Items are range-sorted by (kind, place, item) and ``WINDOW`` neighbours
+    are packed at a time, best fit of decreasing sizes, with the emptiest
+    containers left open for the next few windows. So a container holds
+    neighbours on the curve. Equal places (copies) are ordered by item, so
+    they spread over tasks.
 
     Defined results: an item without tokens takes no space and comes out once
     per kind with a null container_no and n_tokens 0; a null size counts as 0;
@@ -155,7 +158,7 @@ def pack(items: DataFrame, capacities: dict[str, int], items_per_task: int = ITE
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and (held[0][2] != row[2] or len(held) >= BLOCK):
+                if held and (held[0][2] != row[2] or len(held) >= WINDOW):
                     yield flush()
                 held.append(row)
         if held:

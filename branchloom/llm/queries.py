@@ -105,14 +105,26 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 # --- 8: mixture ------------------------------------------------------------
 
-#: The domain of each source in the budget tree; others fall under `other`.
-DOMAINS = {"curation_notes": "prose", "locus_reports": "prose", "review_threads": "prose", "field_letters": "prose", "method_logs": "records", "figure_captions": "records", "sequence_cards": "records", "survey_sheets": "records", "glossary": "records"}
+#: A source is prose if this share of its texts closes with a sentence mark, else it is records.
+PROSE_SHARE = 0.25
+#: Sources and targets the driver takes.
+MAX_SOURCES = 10_000
 
 
-def _mixture(spark: SparkSession, d: str) -> Mixture:
-    sized = materialize(_table(spark, d, "documents").select(F.col("doc_id").alias("item"), key("source").alias("source"), key("lang").alias("language"), token_count(F.col("text"), spark).alias("n_tokens")), "sized")
-    targets = [(r.source, r.target_share, r.max_repeats) for r in collect_bounded(_table(spark, d, "mix_targets").select(key("source").alias("source"), "target_share", "max_repeats"), 10_000, "mix_targets")]
-    return mix(sized, targets, DOMAINS)
+def _domains(sized: DataFrame) -> dict[str, str]:
+    """The upper level of the budget tree, measured on all texts: the form most texts of a source have."""
+    form = sized.filter("source IS NOT NULL AND n_tokens > 0").groupBy("source").agg(F.avg(F.col("closed").cast("int")).alias("share"))
+    return {r.source: "prose" if r.share >= PROSE_SHARE else "records" for r in collect_bounded(form, MAX_SOURCES, "sources of documents")}
+
+
+def _mixture(spark: SparkSession, d: str, whole_corpus: bool = False) -> Mixture:
+    """``whole_corpus``: the total is all tokens of the target sources, so that small sources saturate and others fill in; else the largest total at which none runs short."""
+    closed = F.col("text").rlike(r"[.!?]\s*$").alias("closed")
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("item"), key("source").alias("source"), key("lang").alias("language"), token_count(F.col("text"), spark).alias("n_tokens"), closed)
+    sized = materialize(docs, "sized")
+    targets = [(r.source, r.target_share, r.max_repeats) for r in collect_bounded(_table(spark, d, "mix_targets").select(key("source").alias("source"), "target_share", "max_repeats"), MAX_SOURCES, "mix_targets")]
+    total = (sized.filter(F.col("source").isin([s for s, _, _ in targets if s])).agg(F.sum("n_tokens")).first()[0] or 0) if whole_corpus else None
+    return mix(sized.drop("closed"), targets, _domains(sized), total)
 
 
 @query
@@ -125,6 +137,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares
 
 
+@query
+def p8_large_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture as large as the corpus: small sources reach their repeats, and what they lack goes to siblings before ancestors."""
+    return _mixture(spark, d, True).rows.withColumnRenamed("item", "doc_id")
+
+
+@query
+def p8_large_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d, True).shares
+
+
 # --- 9: texts cut off ------------------------------------------------------
 
 
