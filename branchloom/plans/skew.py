@@ -1,8 +1,9 @@
 """Hot keys: exact counts, salted joins and windows whose groups are cut in chunks.
 
-A key is hot if it has more than ``hot_rows`` rows. The list of hot keys is
-bounded (``MAX_HOT`` rows, the largest first), so it may be collected and
-broadcast; keys beyond the list stay exact, they only aren't split.
+A key is hot if it has more than ``hot_rows`` rows and is among the ``MAX_HOT``
+largest. So the list may be collected and broadcast; a key that isn't on it
+holds less than a MAX_HOT-th of all rows, which is less than a task's share
+wherever that many keys are over ``hot_rows``, and stays exact.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ SALTS = 32
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows as a small local table ``keys + n``, or None if there are none.
 
-    Null keys are never hot: they join nothing and form no group.
+    Null keys are never hot: they join nothing and form no group. A table
+    known to have no more rows than that has no hot key.
     """
+    known = getattr(df, "_branchloom_rows", None)
+    if known is not None and known <= hot_rows:
+        return None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).dropna(subset=keys)
     rows = counts.orderBy(F.desc("n"), *keys).limit(MAX_HOT).collect()
     return df.sparkSession.createDataFrame(rows, counts.schema) if rows else None
@@ -34,7 +39,8 @@ def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     (default: all left columns) and the matching right rows are repeated once
     per salt. ``how`` is inner, left, left_semi or left_anti.
     """
-    hot = hot_keys(left.select(F.col(left_key).alias("_hk")), ["_hk"], hot_rows)
+    known = getattr(left, "_branchloom_rows", None)
+    hot = None if known is not None and known <= hot_rows else hot_keys(left.select(F.col(left_key).alias("_hk")), ["_hk"], hot_rows)
     if hot is None:
         return left.join(right, left[left_key] == right[right_key], how)
     small = F.broadcast(hot.select("_hk", F.lit(True).alias("_hot")))
