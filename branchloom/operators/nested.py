@@ -36,22 +36,26 @@ class FlatTables:
     ``objects``: key, path (surrogate key), parent_path, ordinal, depth, object (variant).
     ``values``: key, path of the owning object, kind, ordinal, value.
     ``schemas``: the merged schema found at each depth.
+    ``fields``: everything else, whatever its name: key, path of the owning
+    object, field (names from the object down, joined by dots), place
+    (ordinals of the arrays passed, joined by ``/``), value as text.
     """
 
     objects: DataFrame
     values: DataFrame
     schemas: list[str]
+    fields: DataFrame
 
 
 def whole_json(text: str) -> str:
     """SQL for the variant of a text that is one valid JSON value and nothing else, else null.
 
-    The parser stops after the first value, so a text is whole only if it also
-    holds as the first of two elements and as a value before an end mark.
+    The parser stops after the first value, so the text is parsed once as the
+    first of two elements; the second one is the text's own digest, which the
+    text can't hold to close the list early.
     """
-    listed = f"size(try_variant_get(try_parse_json(concat('[', {text}, ',0]')), '$', 'array<variant>')) = 2"
-    ended = f"try_variant_get(try_parse_json(concat('{{\"v\":', {text}, ',\"end\":0}}')), '$.end', 'int') = 0"
-    return f"CASE WHEN {listed} AND {ended} THEN try_parse_json({text}) END"
+    listed = f"try_variant_get(try_parse_json(concat('[', {text}, ',\"', md5({text}), '\"]')), '$', 'array<variant>')"
+    return f"try_element_at(filter(array({listed}), l -> size(l) = 2 AND try_variant_get(l[1], '$', 'string') = md5({text})), 1)[0]"
 
 
 def _list(v: str) -> str:
@@ -96,6 +100,15 @@ def top_keys(schema: str) -> set[str]:
     return {re.sub(r"^`|`$", "", p.strip().split(":")[0].strip()) for p in parts if p.strip()}
 
 
+def depth_of(schema: str) -> int:
+    """How many objects and arrays lie within each other in the text of a merged variant schema."""
+    deepest = at = 0
+    for ch in schema or "":
+        at += (ch == "<") - (ch == ">")
+        deepest = max(deepest, at)
+    return deepest
+
+
 def flatten(df: DataFrame, key: str, root: str, recursive: str, values: list[ValueArray], wrapper: str | None = None) -> FlatTables:
     """Flat tables of the objects in the variant column ``root`` and, at any depth, in their key ``recursive``.
 
@@ -103,6 +116,9 @@ def flatten(df: DataFrame, key: str, root: str, recursive: str, values: list[Val
     has ``recursive``, that array is exploded to the next child table. Each
     object gets the surrogate key ``path`` (its ordinals from the root, joined
     by ``/``), its parent's path and its ordinal among the non-null elements.
+    Arrays named in ``values`` become rows of leaf values. Every other key the
+    merged schemas show, named beforehand or not, goes to ``fields``: arrays
+    and objects in it are exploded to the depth the schema has.
 
     Uneven shapes are accepted everywhere: a lone object for an array of one,
     an array under ``wrapper``, an array encoded once more as text. Elements
@@ -120,21 +136,36 @@ def flatten(df: DataFrame, key: str, root: str, recursive: str, values: list[Val
         schemas.append(found or "")
         if recursive not in top_keys(found):
             break
-        inner = level.select("key", F.col("path").alias("parent_path"), F.expr(f"{_object('object')}['{recursive}']").alias("v")).filter("v IS NOT NULL")
+        inner = level.select("key", F.col("path").alias("parent_path"), F.expr(_member("object", recursive)).alias("v")).filter("v IS NOT NULL")
         inner = unwrap(inner, "v", wrapper).select("key", "parent_path", F.posexplode(F.expr(elements("v"))).alias("ordinal", "object"))
         level = inner.select("key", "parent_path", F.concat_ws("/", "parent_path", F.col("ordinal").cast("string")).alias("path"), "ordinal", "object")
         depth += 1
     objects = tables[0]
     for t in tables[1:]:
         objects = objects.unionByName(t)
-    leaves = None
-    for v in values:
-        part = leaf_values(objects.select("key", "path", F.expr(f"{_object('object')}['{v.key}']").alias("v")).filter("v IS NOT NULL"), v)
-        leaves = part if leaves is None else leaves.unionByName(part)
-    return FlatTables(objects, leaves, schemas)
+    return FlatTables(objects, leaf_values(objects, values), schemas, other_fields(objects, [recursive, *(v.key for v in values)], max(map(depth_of, schemas))))
+
+
+def _member(v: str, key: str) -> str:
+    return f"try_variant_get({v}, '$.{key}', 'variant')"
+
+
+def leaf_values(objects: DataFrame, specs: list[ValueArray]) -> DataFrame:
+    """key, path, kind, ordinal, value of the leaf arrays of every object, all kinds in one pass."""
+    kinds = ", ".join(f"struct('{v.kind}' AS kind, {_member('object', v.key)} AS v)" for v in specs)
+    d = objects.select("key", "path", F.expr(f"inline(array({kinds}))")).filter("v IS NOT NULL")
+    listed = " ".join(f"WHEN kind = '{v.kind}' THEN transform({elements('v', v.pairs)}, x -> {v.value})" for v in specs)
+    return unwrap(d, "v", None, 1).select("key", "path", "kind", F.posexplode(F.expr(f"CASE {listed} END")).alias("ordinal", "value"))
 
 
-def leaf_values(df: DataFrame, spec: ValueArray) -> DataFrame:
-    """key, path, kind, ordinal, value of the leaf array in the variant column ``v``."""
-    d = unwrap(df, "v", None, 1).withColumn("v", F.expr(f"transform({elements('v', spec.pairs)}, x -> {spec.value})"))
-    return d.select("key", "path", F.lit(spec.kind).alias("kind"), F.posexplode("v").alias("ordinal", "value"))
+def other_fields(objects: DataFrame, skip: list[str], depth: int) -> DataFrame:
+    """Every member of the objects but those in ``skip``, nested ones exploded ``depth`` times at most; nulls are left out."""
+    members = "filter(map_entries({0}), e -> e.value IS NOT NULL AND NOT is_variant_null(e.value))"
+    left = ", ".join(f"'{k}'" for k in skip)
+    d = objects.select("key", "path", F.explode(F.expr(f"filter({members.format(_object('object'))}, e -> e.key NOT IN ({left}))")).alias("e")).select("key", "path", F.col("e.key").alias("field"), F.lit("").alias("place"), F.col("e.value").alias("v"))
+    for _ in range(max(0, depth - 1)):
+        # a scalar is handed on as it is, so every round is one narrow pass
+        parts = f"""CASE WHEN {_list('v')} IS NOT NULL THEN filter(transform({_list('v')}, (x, i) -> struct(field AS field, concat_ws('/', nullif(place, ''), CAST(i AS string)) AS place, x AS v)), y -> y.v IS NOT NULL AND NOT is_variant_null(y.v))
+          WHEN {_object('v')} IS NOT NULL THEN transform({members.format(_object('v'))}, e -> struct(concat(field, '.', e.key) AS field, place AS place, e.value AS v)) ELSE array(struct(field AS field, place AS place, v AS v)) END"""
+        d = d.select("key", "path", F.expr(f"inline({parts})"))
+    return d.select("key", "path", "field", "place", F.expr("try_variant_get(v, '$', 'string')").alias("value"))

@@ -205,6 +205,13 @@ def p6_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def p6_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every other member of an event, nested ones flattened by the merged schema, with the event's surrogate key."""
+    f = _flat(_units(spark, d)).fields
+    return f.select(F.col("key").alias("history_id"), F.col("path").alias("event_path"), "field", "place", "value")
+
+
 @query
 def p6_schema(spark: SparkSession, d: str) -> DataFrame:
     """The merged schema found at each depth of nesting."""
