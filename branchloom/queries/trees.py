@@ -27,7 +27,7 @@ TIPS = "tips AS (SELECT node FROM down d WHERE NOT EXISTS (SELECT 1 FROM tr c WH
 
 def resolved(spark, d):
     t = tree(spark, d)
-    return t, resolve_hierarchy(t.select("node", "up"), "node", "up", levels_per_stage=4)
+    return t, resolve_hierarchy(t.select("node", "up"), "node", "up")
 
 
 def _tips(t, r):

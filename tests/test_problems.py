@@ -54,7 +54,7 @@ def test_bloom_filter_has_no_false_negatives(spark):
     b = bloom_filter(keys, "k")
     tested = may_contain(spark.range(40_000).select("id", F.concat(F.lit("k"), F.col("id")).alias("k")), "k", b, "hit")
     inside, outside = tested.filter("id < 20000 AND hit").count(), tested.filter("id >= 20000 AND hit").count()
-    assert inside == 20_000 and outside < 0.03 * 20_000
+    assert inside == 20_000 and outside < 0.04 * 20_000
 
 
 # --- intervals -------------------------------------------------------------
@@ -124,7 +124,7 @@ IDS = st.one_of(st.none(), st.sampled_from("abcdefghijkl"))
 @given(st.lists(st.tuples(IDS, IDS), max_size=14))
 def test_hierarchy(spark, rows):
     df = spark.createDataFrame(rows, "id string, root string")
-    for kw in ({"levels_per_stage": 2}, {"hot_rows": 1, "salts": 3, "levels_per_stage": 3}):
+    for kw in ({"level_share": 0.0}, {"level_share": 2.0}, {"hot_rows": 1, "salts": 3, "level_share": 0.4}):
         got = {r.node_id: (r.root_id, r.depth, r.path) for r in resolve_hierarchy(df, "id", "root", **kw).collect()}
         assert got == brute_tree(rows)
 
@@ -238,3 +238,17 @@ def test_nested_empty_table(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_members_nobody_named_come_out(spark):
+    df = spark.createDataFrame([(1, '[{"operation": "gain", "scores": [1.5, null, {"a": [true]}], "conditions": {"low": 2, "deep": {"x": "y"}}, "steps": [{"marks": ["m"]}]}]')], "h int, value string")
+    f = flatten(df.select("h", F.expr(whole_json("value")).alias("doc")), "h", "doc", "steps", [ValueArray("span", "affected_spans", SPAN, True)])
+    got = sorted((r.path, r.field, r.place, r.value) for r in f.fields.collect())
+    assert got == [("0", "conditions.deep.x", "", "y"), ("0", "conditions.low", "", "2"), ("0", "operation", "", "gain"), ("0", "scores", "0", "1.5"), ("0", "scores.a", "2/0", "true"), ("0/0", "marks", "0", "m")]
+
+
+def test_whole_json_takes_whole_texts_only(spark):
+    texts = ['[1]', '{"a": 1}', ' 1 ', '"x"', '[1', '[1] x', '1,2', '1],[2', '1,"end":0},{"x":1', '', '{"a": 1}}', "null"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.j for r in df.select(F.expr(f"to_json({whole_json('t')})").alias("j")).collect()]
+    assert got == ['[1]', '{"a":1}', '1', '"x"', None, None, None, None, None, None, None, "null"]
