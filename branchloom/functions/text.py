@@ -28,8 +28,9 @@ def tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))))
 
 
-def id_prefix_rewrite(c: Column, old: str, new: str) -> Column:
-    return F.regexp_replace(c, f"^{old}", new)
+def element_id(homology: Column) -> Column:
+    """Public id of a homology id (in lower case): EG_ and what follows its prefix hc_, hsg_ or h_, else all of it."""
+    return F.concat(F.lit("EG_"), F.regexp_replace(homology, "^(?:hc|hsg|h)_", ""))
 
 
 def url_id(*parts: Column) -> Column:

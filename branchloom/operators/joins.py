@@ -2,29 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e", bin_size: int = 10_000, how: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e", bin_size: int = 10_000, how: str = "inner", levels: int = 8) -> DataFrame:
     """Pairs of closed intervals that overlap within equal ``keys``; right columns get the prefix ``r_``.
 
-    Both sides are spread over bins of the coordinate axis and joined by keys
-    and bin, so a key with many intervals is split along the axis. A pair is
-    kept only in the bin where its overlap starts, so it comes out once.
-    ``how`` is inner or left (a left row without partner comes out once).
+    Every interval lies in at most two bins of its own level, the first one
+    whose bins, eight times wider each, are as long as it; the last level takes
+    all that is longer. Pairs meet on the level of the longer one, where the
+    shorter one lies in at most two bins as well. So a key with many intervals
+    is split along the axis, and a long interval takes two rows, not one per
+    bin. A pair is kept only in the bin where its overlap starts, so it comes
+    out once. ``how`` is inner or left (a left row without partner comes out
+    once, also where it has nulls; one with a null bound or key has none).
     """
-    bins = lambda s, e: F.explode(F.sequence(F.floor(s / bin_size), F.floor(e / bin_size)))
-    a = left.withColumn("_bin", bins(F.col(start), F.col(end)))
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_rbin", bins(F.col(f"r_{start}"), F.col(f"r_{end}")))
-    on = (F.col("_bin") == F.col("_rbin")) & (F.col(start) <= F.col(f"r_{end}")) & (F.col(f"r_{start}") <= F.col(end)) & (F.floor(F.greatest(start, f"r_{start}") / bin_size) == F.col("_bin"))
+    size = [bin_size * 8**i for i in range(levels)]
+
+    def spread(df: DataFrame, s: str, e: str, p: str) -> DataFrame:
+        n = F.col(e) - F.col(s) + 1
+        own = F.lit(levels - 1)
+        for i in range(levels - 2, -1, -1):
+            own = F.when(n <= size[i], i).otherwise(own)
+        width = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in size]), F.col(f"{p}level") + 1)
+        d = df.withColumn(f"{p}own", own).withColumn(f"{p}level", F.explode(F.sequence(F.col(f"{p}own"), F.lit(levels - 1))))
+        return d.withColumn(f"{p}bin", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
+
+    a = spread(left, start, end, "_a")
+    b = spread(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), f"r_{start}", f"r_{end}", "_b")
+    width = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in size]), F.col("_alevel") + 1)
+    on = (F.col("_alevel") == F.col("_blevel")) & (F.col("_abin") == F.col("_bbin")) & (F.col(start) <= F.col(f"r_{end}")) & (F.col(f"r_{start}") <= F.col(end)) & (F.floor(F.greatest(start, f"r_{start}") / width) == F.col("_abin"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"r_{k}"))
-    inner = a.join(b, on).drop("_bin", "_rbin")
+    # one side at its own level, the other at that level or lifted to it
+    inner = a.filter("_aown = _alevel").join(b, on).unionByName(a.filter("_aown < _alevel").join(b.filter("_bown = _blevel"), on))
+    inner = inner.drop("_aown", "_alevel", "_abin", "_bown", "_blevel", "_bbin")
     if how == "inner":
         return inner
-    none = left.join(inner.select(*left.columns).distinct(), left.columns, "left_anti")
-    return inner.unionByName(none, allowMissingColumns=True)
+    met = inner.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(left.columns)]).distinct()
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(left.columns)])
+    return inner.unionByName(left.join(met, same, "left_anti"), allowMissingColumns=True)
 
 
 def nearest_before(df: DataFrame, points: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:
@@ -51,14 +71,18 @@ def densify(df: DataFrame, rows: DataFrame, columns: DataFrame, keys: list[str],
 
 
 def reciprocal_best(df: DataFrame, left: str, right: str, score: str) -> DataFrame:
-    """Pairs that reach the best score of both their ends, all ties kept: ``left``, ``right``, ``score``, ``status``.
+    """Every scored pair with its ``status``: reciprocal_best, query_best_only or not_reciprocal_best.
 
-    Best scores come from aggregation, not from windows over all pairs of an
-    end, so an end with very many pairs is combined before the shuffle.
+    A pair counts in both directions: the best partners of an id are taken
+    from all pairs that name it on either side, all ties kept. Best scores
+    come from aggregation, not from windows over all pairs of an id, so an id
+    with very many pairs is combined before the shuffle.
     """
-    best = df.groupBy(left, right).agg(F.max(score).alias(score))
-    by_left = best.groupBy(F.col(left).alias("_l")).agg(F.max(score).alias("_bl"))
-    by_right = best.groupBy(F.col(right).alias("_r")).agg(F.max(score).alias("_br"))
-    d = best.join(by_left, F.col(left) == F.col("_l")).join(by_right, F.col(right) == F.col("_r"))
-    top_l, top_r = F.abs(F.col(score) - F.col("_bl")) < 1e-12, F.abs(F.col(score) - F.col("_br")) < 1e-12
-    return d.select(left, right, score, F.when(top_l & top_r, "reciprocal_best").when(top_l, "query_best_only").otherwise("not_best").alias("status"))
+    pairs = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(score).isNotNull()).groupBy(left, right).agg(F.max(score).alias(score))
+    both = pairs.select(F.col(left).alias("_x"), F.col(right).alias("_y"), F.col(score).alias("_s")).unionByName(pairs.select(F.col(right).alias("_x"), F.col(left).alias("_y"), F.col(score).alias("_s")))
+    top = both.groupBy("_x", "_y").agg(F.max("_s").alias("_s"))  # the better of a pair's two directions
+    best = both.groupBy(F.col("_x").alias("_id")).agg(F.max("_s").alias("_b"))
+    d = pairs.join(top, (F.col(left) == F.col("_x")) & (F.col(right) == F.col("_y")))
+    d = d.join(best.select(F.col("_id").alias("_l"), F.col("_b").alias("_bl")), F.col(left) == F.col("_l")).join(best.select(F.col("_id").alias("_r"), F.col("_b").alias("_br")), F.col(right) == F.col("_r"))
+    of_left, of_right = F.abs(F.col("_s") - F.col("_bl")) < 1e-12, F.abs(F.col("_s") - F.col("_br")) < 1e-12
+    return d.select(left, right, score, F.when(of_left & of_right, "reciprocal_best").when(of_left, "query_best_only").otherwise("not_reciprocal_best").alias("status"))

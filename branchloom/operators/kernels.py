@@ -10,10 +10,10 @@ MATCH, MISMATCH, OPEN, EXTEND = 2, -3, -7, -2
 MAX_CELLS = 250_000
 
 
-def affine_global(a: str, b: str) -> int | None:
-    """Best global score of two sequences with affine gaps (a gap of n costs OPEN + (n - 1) * EXTEND); N is neutral. None beyond MAX_CELLS."""
+def affine_global(a: str, b: str, max_cells: int | None = MAX_CELLS) -> int | None:
+    """Best global score of two sequences with affine gaps (a gap of n costs OPEN + (n - 1) * EXTEND); N is neutral. None beyond ``max_cells``; without that, of any length: memory is one row."""
     n, m = len(a), len(b)
-    if (n + 1) * (m + 1) > MAX_CELLS:
+    if max_cells is not None and (n + 1) * (m + 1) > max_cells:
         return None
     low = -(10**9)
     gaps = OPEN + EXTEND * (np.arange(m + 1) - 1)
@@ -33,8 +33,17 @@ def affine_global(a: str, b: str) -> int | None:
     return int(best[m])
 
 
-def best_chain(x: np.ndarray, y: np.ndarray, score: np.ndarray, delta: float = 0.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """Best total of a chain that rises strictly in x and y; which items lie on a chain within ``delta`` of it; which lie on all of those."""
+# How far below the best chain another one still counts, for nucleotide schemes.
+MATCH_REWARD, RELATIVE_DELTA = 2.0, 0.05
+
+
+def score_delta(best: float, scheme: str) -> float:
+    """What a chain may miss of the best one: for nucleotide schemes (``nt_...``) two matches or a twentieth of the best chain, else nothing."""
+    return max(2.0 * MATCH_REWARD, RELATIVE_DELTA * abs(best)) if scheme.startswith("nt_") else 0.0
+
+
+def best_chain(x: np.ndarray, y: np.ndarray, score: np.ndarray, scheme: str = "") -> tuple[float, np.ndarray, np.ndarray]:
+    """Best total of a chain that rises strictly in x and y; which items lie on a chain within ``score_delta`` of it; which lie on all of those."""
     n = len(x)
     if n == 0:
         return 0.0, np.zeros(0, bool), np.zeros(0, bool)
@@ -49,6 +58,7 @@ def best_chain(x: np.ndarray, y: np.ndarray, score: np.ndarray, delta: float = 0
         after = (x[i + 1 :] > x[i]) & (y[i + 1 :] > y[i])
         back[i] = s[i] + (back[i + 1 :][after].max() if after.any() and back[i + 1 :][after].max() > 0 else 0.0)
     best = float(ahead.max())
+    delta = score_delta(best, scheme)
     through = ahead + back - s
     tol = 1e-12 * max(1.0, abs(best))
     kept = through >= best - delta - tol

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,12 @@ def bh_adjust(df: DataFrame, p: str, groups: list[str], ties: list[str], out: st
 @F.pandas_udf(T.DoubleType())
 def chi_square_sf1(x: pd.Series) -> pd.Series:
     """Survival function of a chi-square variable with one degree of freedom."""
-    return x.map(lambda v: None if v is None or v != v else 1.0 if v <= 0 else math.erfc(math.sqrt(v / 2)))
+    v = pd.to_numeric(x).to_numpy(dtype=float)
+    out = np.full(len(v), np.nan)
+    ok = np.isfinite(v)
+    r = np.sqrt(np.maximum(v[ok], 0.0) / 2)
+    out[ok] = np.where(v[ok] <= 0, 1.0, np.frompyfunc(math.erfc, 1, 1)(r).astype(float))
+    return pd.Series(out).where(~np.isnan(out), None)
 
 
 def likelihood_ratio(null: Column, alternative: Column) -> Column:

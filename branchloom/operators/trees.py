@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 def lifted(resolved: DataFrame, lengths: DataFrame) -> DataFrame:
     """node_id, ancestor_id, ancestor_depth, and the distance to it along the path; every node is its own ancestor at 0.
 
-    ``lengths`` has node and length; a missing length counts as 1.
+    ``lengths`` has node and length. If any node below a root has none, every edge counts as 1.
     """
     steps = resolved.filter("path IS NOT NULL").select("node_id", "depth", "root_id", F.posexplode("path").alias("ancestor_depth", "ancestor_id"))
-    with_length = steps.join(lengths.select(F.col("node").alias("ancestor_id"), F.coalesce("length", F.lit(1.0)).alias("length")), "ancestor_id", "left")
+    below = resolved.filter("depth > 0").select("node_id")
+    gaps = below.join(lengths.select(F.col("node").alias("node_id"), "length"), "node_id").agg(F.coalesce(F.bool_or(F.col("length").isNull()), F.lit(False)).alias("_unit"))
+    given = lengths.crossJoin(F.broadcast(gaps))  # one row
+    with_length = steps.join(given.select(F.col("node").alias("ancestor_id"), F.when(F.col("_unit"), 1.0).otherwise(F.coalesce("length", F.lit(0.0))).alias("length")), "ancestor_id", "left")
     w = Window.partitionBy("node_id").orderBy(F.desc("ancestor_depth")).rowsBetween(Window.unboundedPreceding, -1)
     return with_length.withColumn("distance", F.coalesce(F.sum("length").over(w), F.lit(0.0))).drop("length")
 

@@ -32,14 +32,14 @@ def short_alignment(spark, d):
 
 @query()
 def chain_score(spark, d):
-    """Best order-preserving chain of mapped matches per pair of copies; a group is bounded by the occurrences of two copies."""
+    """Best order-preserving chain of mapped matches per pair of copies, by a score that isn't a nucleotide scheme, so only best chains are kept; a group is bounded by the occurrences of two copies."""
     p = placed(spark, d).select("occ", "copy", F.when(C("strand") == "-", -C("e")).otherwise(C("s")).alias("x"))
     m = matches(spark, d).filter("status = 'mapped' AND total_score IS NOT NULL").groupBy("q", "t").agg(F.max("total_score").alias("score"))
     j = m.join(p.select(C("occ").alias("q"), C("copy").alias("left_copy"), C("x")), "q").join(p.select(C("occ").alias("t"), C("copy").alias("right_copy"), C("x").alias("y")), "t").filter("left_copy <> right_copy")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["x", "y", "score"])
-        best, kept, must = best_chain(g["x"].to_numpy(), g["y"].to_numpy(), g["score"].to_numpy(), 0.05 * g["score"].max())
+        best, kept, must = best_chain(g["x"].to_numpy(), g["y"].to_numpy(), g["score"].to_numpy(), "local_score")
         return pd.DataFrame({"left_copy": [g["left_copy"].iloc[0]], "right_copy": [g["right_copy"].iloc[0]], "candidates": [len(g)], "best": [round(best, 6)], "retained": [int(kept.sum())], "mandatory": [int(must.sum())]})
 
     return j.select("left_copy", "right_copy", "x", "y", "score").groupBy("left_copy", "right_copy").applyInPandas(run, "left_copy string, right_copy string, candidates bigint, best double, retained bigint, mandatory bigint")

@@ -71,8 +71,8 @@ def element_profiles(spark, d):
 
 
 _BEST = f"""{MATCH}, p AS (SELECT q, t, max(total_score) AS score FROM m WHERE status = 'mapped' AND q IS NOT NULL AND t IS NOT NULL AND q <> t AND total_score IS NOT NULL GROUP BY q, t),
-bl AS (SELECT q, max(score) AS b FROM p GROUP BY q), br AS (SELECT t, max(score) AS b FROM p GROUP BY t),
-rb AS (SELECT p.q, p.t, p.score, CASE WHEN abs(p.score - bl.b) < 1e-12 AND abs(p.score - br.b) < 1e-12 THEN 'reciprocal_best' WHEN abs(p.score - bl.b) < 1e-12 THEN 'query_best_only' ELSE 'not_best' END AS status FROM p JOIN bl USING (q) JOIN br USING (t))"""
+both_ AS (SELECT q AS x, t AS y, score FROM p UNION ALL SELECT t, q, score FROM p), ok AS (SELECT x, y FROM (SELECT *, max(score) OVER (PARTITION BY x) AS b FROM both_) WHERE abs(score - b) < 1e-12 GROUP BY x, y),
+rb AS (SELECT p.q, p.t, p.score, CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN 'reciprocal_best' WHEN a.x IS NOT NULL THEN 'query_best_only' ELSE 'not_reciprocal_best' END AS status FROM p LEFT JOIN ok a ON a.x = p.q AND a.y = p.t LEFT JOIN ok b ON b.x = p.t AND b.y = p.q)"""
 
 
 def _pairs(spark, d):
@@ -203,23 +203,44 @@ def copy_spans(spark, d):
     return _spans(spark, d)
 
 
-@query(f"""WITH {_SPANS}, g AS (SELECT *, s - lag(e) OVER (PARTITION BY family, species, contig ORDER BY s, e, copy) AS gap, count(*) OVER (PARTITION BY family, species) AS total FROM sp),
-c AS (SELECT family, species, max(total) AS n_spans, count(DISTINCT contig) AS contigs, max(gap) AS widest FROM g GROUP BY ALL)
-SELECT *, CASE WHEN n_spans = 1 THEN 'single' WHEN contigs > 1 THEN 'dispersed' WHEN widest <= 250000 THEN 'tandem' ELSE 'same_contig' END AS copy_class FROM c""")
+_COPIES = f"""{PLACED}, sp AS (SELECT family, species, copy, min(contig) AS contig, min(s) AS s, max(e) AS e FROM placed WHERE family IS NOT NULL AND species IS NOT NULL AND presence = 'present' GROUP BY family, species, copy)"""
+
+
+def _copies(spark, d):
+    """The span of every copy over its present occurrences."""
+    p = placed(spark, d).filter("family IS NOT NULL AND species IS NOT NULL AND presence = 'present'")
+    return p.groupBy("family", "species", "copy").agg(F.min("contig").alias("contig"), F.min("s").alias("s"), F.max("e").alias("e"))
+
+
+@query(f"""WITH {_COPIES}, g AS (SELECT *, greatest(0, s - lag(e) OVER (PARTITION BY family, species ORDER BY s, e, copy)) AS gap FROM sp),
+c AS (SELECT family, species, count(*) AS copies, count(DISTINCT contig) AS contigs, coalesce(max(gap), 0) AS widest FROM g GROUP BY ALL)
+SELECT *, CASE WHEN copies = 1 THEN 'single_copy' WHEN contigs > 1 THEN 'dispersed_multi_copy' WHEN widest <= 250000 THEN 'tandem_multi_copy' ELSE 'same_contig_multi_copy' END AS copy_class FROM c""")
 def copy_class(spark, d):
-    w = Window.partitionBy("family", "species", "contig").orderBy("s", "e", "copy")
-    g = _spans(spark, d).withColumn("gap", C("s") - F.lag("e").over(w))
-    c = g.groupBy("family", "species").agg(F.count("*").alias("n_spans"), F.count_distinct("contig").alias("contigs"), F.max("gap").alias("widest"))
-    return c.withColumn("copy_class", F.when(C("n_spans") == 1, "single").when(C("contigs") > 1, "dispersed").when(C("widest") <= 250_000, "tandem").otherwise("same_contig"))
+    w = Window.partitionBy("family", "species").orderBy("s", "e", "copy")
+    g = _copies(spark, d).withColumn("gap", F.greatest(F.lit(0), C("s") - F.lag("e").over(w)))
+    c = g.groupBy("family", "species").agg(F.count("*").alias("copies"), F.count_distinct("contig").alias("contigs"), F.coalesce(F.max("gap"), F.lit(0)).alias("widest"))
+    return c.withColumn("copy_class", F.when(C("copies") == 1, "single_copy").when(C("contigs") > 1, "dispersed_multi_copy").when(C("widest") <= 250_000, "tandem_multi_copy").otherwise("same_contig_multi_copy"))
 
 
-@query(f"""WITH {_SPANS}, g AS (SELECT copy AS left_copy, lead(copy) OVER w AS right_copy, greatest(0, lead(s) OVER w - e - 1) AS gap FROM sp WINDOW w AS (PARTITION BY family, species, contig ORDER BY s, e, copy))
-SELECT *, CASE WHEN gap <= 250000 THEN 0.9 ELSE 0.65 END AS score FROM g WHERE right_copy IS NOT NULL""")
+@query(f"""WITH {_COPIES}, p AS (SELECT a.family, a.species, CASE WHEN a.contig <> b.contig THEN 'dispersed_or_retrocopy_candidate' WHEN greatest(0, greatest(a.s, b.s) - least(a.e, b.e)) <= 250000 THEN 'tandem_duplication_candidate' ELSE 'same_contig_duplication_candidate' END AS relationship_class
+FROM sp a JOIN sp b ON a.family = b.family AND a.species = b.species AND a.copy < b.copy)
+SELECT family, species, relationship_class, CASE relationship_class WHEN 'tandem_duplication_candidate' THEN 0.9 WHEN 'same_contig_duplication_candidate' THEN 0.65 ELSE 0.45 END AS synteny_score, count(*) AS n_pairs FROM p GROUP BY ALL""")
 def copy_relationships(spark, d):
-    """Neighbouring copies on one contig with their gap."""
-    w = Window.partitionBy("family", "species", "contig").orderBy("s", "e", "copy")
-    g = _spans(spark, d).select(C("copy").alias("left_copy"), F.lead("copy").over(w).alias("right_copy"), F.greatest(F.lit(0), F.lead("s").over(w) - C("e") - 1).alias("gap"))
-    return g.filter("right_copy IS NOT NULL").withColumn("score", F.when(C("gap") <= 250_000, 0.9).otherwise(0.65))
+    """Pairs of copies per class of relationship. Pairs are counted, not formed: a copy is tandem to those that start by its end and the reach, less those that come before it."""
+    sp = _copies(spark, d)
+    keys = ["family", "species", "contig"]
+    marks = sp.select(*keys, C("s").alias("at"), F.lit(0).alias("kind"), "copy").unionByName(sp.select(*keys, (C("e") + 250_000).alias("at"), F.lit(1).alias("kind"), "copy"))
+    starts = F.sum(F.when(C("kind") == 0, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("at", "kind", "copy").rowsBetween(Window.unboundedPreceding, 0))
+    near = marks.withColumn("n", starts).groupBy(*keys).agg(F.sum(F.when(C("kind") == 1, C("n"))).alias("reached"), F.sum(F.when(C("kind") == 0, C("n"))).alias("before"), F.count_if(C("kind") == 0).alias("c"))
+    # summed over copies: starts within reach, less each copy's own rank
+    contig = near.select("family", "species", (C("reached") - C("before")).alias("tandem"), (C("c") * (C("c") - 1) / 2).cast("bigint").alias("same"), "c")
+    total = contig.groupBy("family", "species").agg(F.sum("tandem").alias("tandem"), F.sum("same").alias("same"), F.sum("c").alias("c"))
+    classes = F.explode(F.array(
+        F.struct(F.lit("tandem_duplication_candidate").alias("relationship_class"), F.lit(0.9).alias("synteny_score"), C("tandem").alias("n_pairs")),
+        F.struct(F.lit("same_contig_duplication_candidate").alias("relationship_class"), F.lit(0.65).alias("synteny_score"), (C("same") - C("tandem")).alias("n_pairs")),
+        F.struct(F.lit("dispersed_or_retrocopy_candidate").alias("relationship_class"), F.lit(0.45).alias("synteny_score"), ((C("c") * (C("c") - 1) / 2).cast("bigint") - C("same")).alias("n_pairs")),
+    )).alias("x")
+    return total.select("family", "species", classes).select("family", "species", "x.*").filter("n_pairs > 0")
 
 
 _PATH = f"""{PLACED}, path AS (SELECT family, copy, string_agg({ROLE.format('role')}, '>' ORDER BY s, occ) AS path FROM placed WHERE family IS NOT NULL GROUP BY ALL)"""

@@ -13,9 +13,9 @@ from branchloom.queries.views import ADJ, FEAT, HOM, MATCH, OCC, PLACED, adjacen
 
 query = Registry()
 C = F.col
-STATE = "CASE WHEN {0} IN ('present', '1', 'yes', 'true') THEN 'present' WHEN {0} IN ('absent', '0', 'no', 'false') THEN 'absent' ELSE 'unknown' END"
-ROLE = "CASE WHEN {0} = 'cds' THEN 'exonic_coding' WHEN {0} IN ('exon', 'utr', 'noncoding_exon', 'five_prime_utr', 'three_prime_utr') THEN 'exonic' WHEN {0} = 'intron' THEN 'intronic' ELSE 'other' END"
-CONF = "least(greatest(CASE {0} WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.75 WHEN 'low' THEN 0.45 ELSE try_cast({0} AS DOUBLE) END, 0.0), 1.0)"
+STATE = "CASE WHEN {0} IS NULL OR {0} IN ('?', 'unknown', 'ambiguous', 'truncated', 'unavailable', 'unresolved') THEN 'unknown' ELSE {0} END"
+ROLE = "CASE WHEN {0} IN ('cds', 'predicted_cds') THEN 'CDS' WHEN {0} IN ('exon', 'utr', 'noncoding_exon') THEN 'exon_or_UTR' WHEN {0} IN ('intron', 'intergenic') THEN 'non_exonic_source' ELSE 'unknown' END"
+CONF = "coalesce(CASE WHEN {0} IN ('high', 'strong', 'curated') THEN 0.95 WHEN {0} IN ('medium', 'moderate') THEN 0.75 WHEN {0} IN ('low', 'weak') THEN 0.45 ELSE try_cast({0} AS DOUBLE) END, 0.5)"
 
 
 @query(f"WITH {OCC} SELECT occ, loaded_at, {STATE.format('presence')} AS state FROM occ")
@@ -33,10 +33,9 @@ def role_bucket(spark, d):
     return occurrences(spark, d).groupBy(scoring.role_bucket("role").alias("bucket"), "role").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FEAT} SELECT type, CASE WHEN type = 'cds' THEN 'coding' WHEN type IN ('exon', 'exon_region') THEN 'exonic' WHEN type IN ('mrna', 'lnc_rna', 'transcript') THEN 'transcript' WHEN type = 'gene' THEN 'gene' ELSE 'other' END AS feature_role, count(*) AS n FROM f GROUP BY ALL")
+@query(f"WITH {FEAT} SELECT type, CASE WHEN type = 'cds' THEN 'CDS' WHEN type LIKE '%utr' THEN 'UTR' WHEN type = 'intron' THEN 'intron' ELSE 'exon' END AS feature_role, count(*) AS n FROM f GROUP BY ALL")
 def feature_role(spark, d):
-    role = F.when(C("type") == "cds", "coding").when(C("type").isin("exon", "exon_region"), "exonic").when(C("type").isin("mrna", "lnc_rna", "transcript"), "transcript").when(C("type") == "gene", "gene").otherwise("other")
-    return features(spark, d).groupBy("type", role.alias("feature_role")).agg(F.count("*").alias("n"))
+    return features(spark, d).groupBy("type", scoring.feature_role("type").alias("feature_role")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {HOM} SELECT record_no, {CONF.format('confidence')} AS score FROM h")
@@ -45,18 +44,21 @@ def confidence_score(spark, d):
 
 
 @query(f"""WITH {HOM}, deg AS (SELECT homology, count(DISTINCT occ) AS degree FROM h WHERE homology IS NOT NULL GROUP BY homology),
-s AS (SELECT record_no, least(1.0, 0.75 * coalesce({CONF.format('confidence')}, 0.0) + 0.25 * least(1.0, degree / 2)) AS x FROM h JOIN deg USING (homology))
-SELECT record_no, round(x, 6) + 0.0 AS adjusted, CASE WHEN round(x, 6) >= 0.7 THEN 'core' ELSE 'peripheral' END AS call FROM s""")
+s AS (SELECT record_no, least(1.0, 0.75 * {CONF.format('confidence')} + 0.25 * least(1.0, degree / 2)) AS x FROM h JOIN deg USING (homology))
+SELECT record_no, round(x, 6) + 0.0 AS adjusted, CASE WHEN round(x, 6) >= 0.7 THEN 'core_member' ELSE 'ambiguous_member' END AS call FROM s""")
 def membership_call(spark, d):
     h = homology(spark, d).filter("homology IS NOT NULL")
     degree = h.groupBy("homology").agg(F.count_distinct("occ").alias("degree"))
-    x = r6(scoring.membership(F.coalesce(scoring.confidence("confidence"), F.lit(0.0)), C("degree")))
-    return h.join(degree, "homology").select("record_no", x.alias("adjusted"), F.when(x >= 0.7, "core").otherwise("peripheral").alias("call"))
+    x = r6(scoring.membership(scoring.confidence("confidence"), C("degree")))
+    return h.join(degree, "homology").select("record_no", x.alias("adjusted"), F.when(x >= 0.7, "core_member").otherwise("ambiguous_member").alias("call"))
 
 
-@query(f"WITH {HOM} SELECT record_no, regexp_replace(homology, '^h', 'e') AS element_id FROM h")
+ELEMENT = "'EG_' || CASE WHEN {0} LIKE 'hc\\_%' ESCAPE '\\' OR {0} LIKE 'hsg\\_%' ESCAPE '\\' OR {0} LIKE 'h\\_%' ESCAPE '\\' THEN substring({0}, position('_' IN {0}) + 1) ELSE {0} END"
+
+
+@query(f"WITH {HOM} SELECT record_no, {ELEMENT.format('homology')} AS element_id FROM h")
 def id_rewrite(spark, d):
-    return homology(spark, d).select("record_no", text.id_prefix_rewrite(C("homology"), "h", "e").alias("element_id"))
+    return homology(spark, d).select("record_no", text.element_id(C("homology")).alias("element_id"))
 
 
 _TIER = "((alignment_score >= 0.7 AND size_ratio >= 0.45) OR (alignment_score >= 0.85 AND size_ratio >= 0.3))"
@@ -70,38 +72,48 @@ def two_tier_accept(spark, d):
 _PAIRS = "floor(size_ratio * 20)"
 
 
-@query(f"""WITH {MATCH} SELECT t0 AS threshold, count(*) AS candidates, sum(CASE WHEN (alignment_score >= greatest(0.7, t0) AND size_ratio >= 0.8 AND {_PAIRS} >= 12) OR ({_PAIRS} BETWEEN 3 AND 11 AND alignment_score >= greatest(0.9, t0) AND size_ratio >= 0.95) THEN 1 ELSE 0 END) AS accepted
-FROM m CROSS JOIN (VALUES (0.5), (0.6), (0.7), (0.8), (0.9)) g(t0) GROUP BY t0""")
+@query(f"""WITH {MATCH} SELECT identity, coverage, count(*) AS candidates, sum(CASE WHEN ((alignment_score >= 0.55 AND size_ratio >= 0.45) OR (alignment_score >= 0.7 AND size_ratio >= 0.3)) AND alignment_score >= identity AND size_ratio >= coverage AND {_PAIRS} >= 12 THEN 1 ELSE 0 END) AS accepted
+FROM m CROSS JOIN (VALUES (0.6), (0.7), (0.8)) i(identity) CROSS JOIN (VALUES (0.6), (0.8)) c(coverage) GROUP BY identity, coverage""")
 def threshold_grid(spark, d):
-    """Short-candidate acceptance at each threshold of a grid."""
-    grid = F.explode(F.array(*[F.lit(x) for x in (0.5, 0.6, 0.7, 0.8, 0.9)])).alias("threshold")
-    m = matches(spark, d).select("alignment_score", "size_ratio", grid)
-    ok = scoring.short_accept(C("alignment_score"), C("size_ratio"), F.floor(C("size_ratio") * 20), C("threshold"))
-    return m.groupBy("threshold").agg(F.count("*").alias("candidates"), F.sum(F.when(ok, 1).otherwise(0)).alias("accepted"))
+    """Short candidates accepted at each pair of thresholds, the saved pair threshold being 0.55."""
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("identity"), F.lit(c).alias("coverage")) for i in (0.6, 0.7, 0.8) for c in (0.6, 0.8)])).alias("g")
+    m = matches(spark, d).select("alignment_score", "size_ratio", grid).select("alignment_score", "size_ratio", "g.*")
+    ok = scoring.short_accept(C("alignment_score"), C("size_ratio"), F.floor(C("size_ratio") * 20), F.lit(0.55), C("identity"), C("coverage"))
+    return m.groupBy("identity", "coverage").agg(F.count("*").alias("candidates"), F.sum(F.when(ok, 1).otherwise(0)).alias("accepted"))
 
 
-_TOTAL = "0.34 * coalesce(alignment_score, 0) + 0.14 * coalesce(size_ratio, 0) + 0.1 * coalesce(left_context_score, 0) + 0.1 * coalesce(right_context_score, 0) + 0.1 * coalesce(left_boundary_score, 0) + 0.04 * coalesce(right_boundary_score, 0)"
+_BOUNDARY = "0.5 * (coalesce(left_boundary_score, 0.5) + coalesce(right_boundary_score, 0.5))"
+_TOTAL = f"0.34 * coalesce(alignment_score, 0) + 0.14 * coalesce(size_ratio, 1) + 0.1 * coalesce(left_context_score, 0.5) + 0.1 * coalesce(right_context_score, 0.5) + 0.1 * {_BOUNDARY} + 0.08 * 0.5 + 0.06 * 0.5 + 0.04 * 0.5 + 0.04 * 0.5"
 
 
 @query(f"WITH {MATCH} SELECT match_id, round({_TOTAL}, 6) + 0.0 AS formula_score, round(coalesce(total_score, {_TOTAL}), 6) + 0.0 AS score FROM m")
 def match_total(spark, d):
-    parts = {"identity": C("alignment_score"), "coverage": C("size_ratio"), "left": C("left_context_score"), "right": C("right_context_score"), "boundary": C("left_boundary_score"), "splice": C("right_boundary_score")}
+    parts = {"identity": C("alignment_score"), "coverage": C("size_ratio"), "left": C("left_context_score"), "right": C("right_context_score"), "boundary": scoring.boundary(C("left_boundary_score"), C("right_boundary_score"))}
     total = scoring.weighted_total(parts)
     return matches(spark, d).select("match_id", r6(total).alias("formula_score"), r6(F.coalesce("total_score", total)).alias("score"))
 
 
-@query(f"WITH {MATCH} SELECT match_id, coalesce(alignment_score, 0) AS identity, coalesce(size_ratio, 0) AS coverage, coalesce(left_context_score, 0.5) AS left_context, coalesce(right_context_score, 0.5) AS right_context, least(coalesce(alignment_score, 0), coalesce(size_ratio, 0)) AS support FROM m")
+@query(f"WITH {MATCH} SELECT match_id, coalesce(alignment_score, 0) AS identity, coalesce(size_ratio, 1) AS coverage, coalesce(left_context_score, 0.5) AS left_context, coalesce(right_context_score, 0.5) AS right_context, {_BOUNDARY} AS boundary, 0.5 AS phase, 0.5 AS path_order, 0.5 AS strand, 0.5 AS splice, NULL::DOUBLE AS sequence_score, NULL::DOUBLE AS structural_context, least(coalesce(alignment_score, 0), coalesce(size_ratio, 1)) AS support FROM m")
 def normalized_components(spark, d):
-    a, s = F.coalesce("alignment_score", F.lit(0.0)), F.coalesce("size_ratio", F.lit(0.0))
-    return matches(spark, d).select("match_id", a.alias("identity"), s.alias("coverage"), F.coalesce("left_context_score", F.lit(0.5)).alias("left_context"), F.coalesce("right_context_score", F.lit(0.5)).alias("right_context"), F.least(a, s).alias("support"))
+    """All components of a match with the values of missing ones; phase, order, strand and splice aren't in the table."""
+    a, s = F.coalesce("alignment_score", F.lit(0.0)), F.coalesce("size_ratio", F.lit(1.0))
+    half = [F.lit(0.5).alias(n) for n in ("phase", "path_order", "strand", "splice")]
+    none = [F.lit(None).cast("double").alias(n) for n in ("sequence_score", "structural_context")]
+    return matches(spark, d).select("match_id", a.alias("identity"), s.alias("coverage"), F.coalesce("left_context_score", F.lit(0.5)).alias("left_context"), F.coalesce("right_context_score", F.lit(0.5)).alias("right_context"), scoring.boundary(C("left_boundary_score"), C("right_boundary_score")).alias("boundary"), *half, *none, F.least(a, s).alias("support"))
 
 
-@query(f"""WITH {MATCH} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN q IS NULL OR t IS NULL THEN 'missing_id' WHEN q = t THEN 'same_occurrence' WHEN split_part(q, '.', 1) || split_part(q, '.', 2) = split_part(t, '.', 1) || split_part(t, '.', 2) THEN 'same_copy'
-WHEN size_ratio IS NULL OR size_ratio < 0.3 THEN 'length_ratio' WHEN alignment_score IS NULL THEN 'no_score' ELSE 'align' END AS reason FROM m) GROUP BY reason""")
+@query(f"""WITH {MATCH}, {PLACED}, p AS (SELECT occ, family, species, copy, role, e - s + 1 AS n FROM placed), j AS (SELECT a.family AS lf, b.family AS rf, a.species || '/' || a.copy AS lc, b.species || '/' || b.copy AS rc, a.role AS lr, b.role AS rr, least(a.n, b.n) / greatest(a.n, b.n) AS ratio, a.occ AS lo, b.occ AS ro FROM m LEFT JOIN p a ON a.occ = m.q LEFT JOIN p b ON b.occ = m.t)
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN lo IS NULL OR ro IS NULL THEN 'missing_sequence' WHEN lf IS DISTINCT FROM rf THEN 'different_family' WHEN lc = rc THEN 'same_copy_projection_only' WHEN lr = 'intron' AND rr = 'intron' THEN 'intron_intron_skipped'
+WHEN coalesce(lr, '') NOT IN ('cds', 'exon', 'utr', 'noncoding_exon') AND coalesce(rr, '') NOT IN ('cds', 'exon', 'utr', 'noncoding_exon') AND ratio < 0.25 THEN 'length_ratio_prefilter' ELSE 'aligned_candidate' END AS reason FROM j) GROUP BY reason""")
 def prefilter_reason(spark, d):
-    copy = lambda c: F.concat(F.split_part(C(c), F.lit("."), F.lit(1)), F.split_part(C(c), F.lit("."), F.lit(2)))
-    reason = F.when(C("q").isNull() | C("t").isNull(), "missing_id").when(C("q") == C("t"), "same_occurrence").when(copy("q") == copy("t"), "same_copy").when(C("size_ratio").isNull() | (C("size_ratio") < 0.3), "length_ratio").when(C("alignment_score").isNull(), "no_score").otherwise("align")
-    return matches(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    """Why a pair is aligned or not. An occurrence without coordinates has no sequence, and none of the other tests can be made on it."""
+    p = placed(spark, d).select("occ", "family", F.concat_ws("/", "species", "copy").alias("copy"), F.coalesce("role", F.lit("")).alias("role"), (C("e") - C("s") + 1).alias("n"))
+    side = lambda x: p.select(*[C(c).alias(f"{x}_{c}") for c in p.columns])
+    j = matches(spark, d).select("q", "t").join(side("l"), C("q") == C("l_occ"), "left").join(side("r"), C("t") == C("r_occ"), "left")
+    ratio = F.least("l_n", "r_n") / F.greatest("l_n", "r_n")
+    exonic = C("l_role").isin(*scoring.EXON_LIKE) | C("r_role").isin(*scoring.EXON_LIKE)
+    reason = F.when(C("l_occ").isNull() | C("r_occ").isNull(), "missing_sequence").when(~C("l_family").eqNullSafe(C("r_family")), "different_family").when(C("l_copy") == C("r_copy"), "same_copy_projection_only").when((C("l_role") == "intron") & (C("r_role") == "intron"), "intron_intron_skipped").when(~exonic & (ratio < 0.25), "length_ratio_prefilter").otherwise("aligned_candidate")
+    return j.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {MATCH} SELECT match_id, CASE WHEN splice IN ('conserved', 'novel_splice') THEN 'true' WHEN splice IN ('weak_donor', 'weak_acceptor') THEN 'false' ELSE 'legacy' END AS flag, status = 'mapped' AND coalesce(splice, '') NOT IN ('weak_donor', 'weak_acceptor') AS eligible FROM m WHERE status IS NOT NULL")
@@ -176,7 +188,7 @@ def ungapped_identity(spark, d):
     return sequences(spark, d).select("doc_id", sequence.same_positions(C("seq"), sequence.reverse_complement(C("seq"))).cast("bigint").alias("matching"))
 
 
-@query(f"WITH {S} SELECT doc_id, CASE WHEN length(seq) < 4 THEN 0.1 WHEN m = 'GT-AG' THEN 1.0 WHEN m = 'GC-AG' THEN 0.8 WHEN m = 'AT-AC' THEN 0.45 ELSE 0.1 END AS score FROM (SELECT *, substring(seq, 1, 2) || '-' || right(seq, 2) AS m FROM sq)")
+@query(f"WITH {S} SELECT doc_id, CASE WHEN length(seq) < 4 THEN 0.0 WHEN l = 'GT' AND r = 'AG' THEN 1.0 WHEN (l = 'GC' AND r = 'AG') OR (l = 'AT' AND r = 'AC') THEN 0.8 WHEN l IN ('GT', 'GC', 'AT') OR r IN ('AG', 'AC') THEN 0.45 ELSE 0.1 END AS score FROM (SELECT *, substring(seq, 1, 2) AS l, right(seq, 2) AS r FROM sq)")
 def motif_score(spark, d):
     return sequences(spark, d).select("doc_id", scoring.motif_score(C("seq")).alias("score"))
 
@@ -261,21 +273,28 @@ def interval_subtract(spark, d):
     return p.groupBy("copy").agg(F.sum(spans.overlap_length(C("s"), C("e"), F.lit(1_000_001), F.lit(5_000_000))).alias("inside"), F.sum(outside).alias("outside"))
 
 
-@query(f"""WITH {FEAT}, c AS (SELECT DISTINCT parent, id, s, e, phase FROM f WHERE type = 'cds' AND phase IS NOT NULL AND parent IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL),
-w AS (SELECT *, lead(phase) OVER (PARTITION BY parent ORDER BY s, e, coalesce(id, ''), phase) AS next_phase FROM c)
-SELECT parent, s, e, coalesce(id, '') AS id, phase, next_phase, (((3 - (((e - s + 1 - phase) % 3) + 3) % 3) % 3))::BIGINT AS expected, next_phase = ((3 - (((e - s + 1 - phase) % 3) + 3) % 3) % 3) AS compatible FROM w WHERE next_phase IS NOT NULL""")
+@query(f"""WITH {FEAT}, c AS (SELECT DISTINCT parent, strand, coalesce(id, '') AS id, s, e, phase FROM f WHERE type = 'cds' AND parent IS NOT NULL AND strand IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL),
+w AS (SELECT *, lead(phase) OVER o AS next_phase, lead(s) OVER o AS next_s FROM c WINDOW o AS (PARTITION BY parent, strand ORDER BY CASE WHEN strand = '-' THEN -e ELSE s END, CASE WHEN strand = '-' THEN -s ELSE e END, id, coalesce(phase, -1)))
+SELECT parent, strand, s, e, id, phase, next_phase, CASE WHEN phase IS NULL OR next_phase IS NULL THEN 'unknown' WHEN e - s + 1 < phase THEN 'incompatible' WHEN next_phase = (3 - (e - s + 1 - phase) % 3) % 3 THEN 'compatible' ELSE 'incompatible' END AS compatibility FROM w WHERE next_s IS NOT NULL""")
 def phase_compat(spark, d):
-    c = features(spark, d).filter("type = 'cds' AND phase IS NOT NULL AND parent IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL").select("parent", F.coalesce("id", F.lit("")).alias("id"), "s", "e", "phase").distinct()
-    w = Window.partitionBy("parent").orderBy("s", "e", "id", "phase")
-    want = scoring.expected_phase(C("e") - C("s") + 1, C("phase"))
-    return c.withColumn("next_phase", F.lead("phase").over(w)).filter("next_phase IS NOT NULL").select("parent", "s", "e", "id", "phase", "next_phase", want.cast("bigint").alias("expected"), (C("next_phase") == want).alias("compatible"))
+    """Each coding segment and the next one in the direction of transcription."""
+    c = features(spark, d).filter("type = 'cds' AND parent IS NOT NULL AND strand IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL").select("parent", "strand", F.coalesce("id", F.lit("")).alias("id"), "s", "e", "phase").distinct()
+    along = [F.when(C("strand") == "-", -C("e")).otherwise(C("s")), F.when(C("strand") == "-", -C("s")).otherwise(C("e")), C("id"), F.coalesce("phase", F.lit(-1))]
+    w = Window.partitionBy("parent", "strand").orderBy(*along)
+    d_ = c.withColumns({"next_phase": F.lead("phase").over(w), "_n": F.lead("s").over(w)}).filter("_n IS NOT NULL")
+    return d_.select("parent", "strand", "s", "e", "id", "phase", "next_phase", scoring.phase_compatibility(C("phase"), C("next_phase"), C("e") - C("s") + 1).alias("compatibility"))
+
+
+_LAYERS = ["segment_presence", "role_state", "source_mixture", "copy_multiplicity", "other"]
+_STATES = ["absent", "present", "unknown", "multi_source"]
 
 
-@query("""WITH s(a) AS (VALUES ('absent'), ('present'), ('unknown')) SELECT x.a AS source_state, y.a AS target_state, CASE WHEN x.a = y.a THEN 0.0 WHEN x.a = 'absent' AND y.a = 'present' THEN 2.0 WHEN x.a = 'present' AND y.a = 'absent' THEN 1.5 ELSE 2.5 END AS cost, CASE WHEN x.a = 'unknown' THEN 1.0 WHEN x.a = y.a THEN 0.95 ELSE 0.05 END AS emission FROM s x, s y""")
+@query(f"""WITH l(layer) AS (VALUES {", ".join(f"('{x}')" for x in _LAYERS)}), s(a) AS (VALUES {", ".join(f"('{x}')" for x in _STATES)})
+SELECT layer, x.a AS source_state, y.a AS target_state, CASE WHEN x.a = y.a THEN 0.0 WHEN layer = 'segment_presence' THEN CASE WHEN x.a = 'absent' AND y.a = 'present' THEN 2.0 WHEN x.a = 'present' AND y.a = 'absent' THEN 1.5 ELSE 2.5 END WHEN layer = 'role_state' THEN CASE WHEN 'absent' IN (x.a, y.a) THEN 2.0 ELSE 1.0 END WHEN layer = 'source_mixture' THEN CASE WHEN 'multi_source' IN (x.a, y.a) THEN 2.0 ELSE 1.0 END WHEN layer = 'copy_multiplicity' THEN 1.5 ELSE 1.0 END AS cost,
+CASE WHEN x.a NOT IN ('absent', 'present') THEN 1.0 WHEN x.a = y.a THEN 0.95 ELSE 0.05 END AS emission FROM l, s x, s y""")
 def transition_cost(spark, d):
-    s = spark.createDataFrame([("absent",), ("present",), ("unknown",)], "a string")
-    pairs = s.select(C("a").alias("source_state")).crossJoin(s.select(C("a").alias("target_state")))  # three states
-    return pairs.select("source_state", "target_state", scoring.transition_cost(C("source_state"), C("target_state")).alias("cost"), scoring.emission(C("source_state"), C("target_state")).alias("emission"))
+    grid = spark.createDataFrame([(layer, a, b) for layer in _LAYERS for a in _STATES for b in _STATES], "layer string, source_state string, target_state string")
+    return grid.select("layer", "source_state", "target_state", scoring.transition_cost(C("layer"), C("source_state"), C("target_state")).alias("cost"), scoring.emission(C("source_state"), C("target_state"), ("absent", "present")).alias("emission"))
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -21,7 +21,7 @@ C = F.col
 DOWN = f"""{TREE}, down AS (SELECT l.node, l.node AS root, 0::BIGINT AS depth, [l.node] AS path FROM tr l LEFT JOIN tr p ON p.node = l.up WHERE p.node IS NULL
   UNION ALL SELECT l.node, d.root, d.depth + 1, list_append(d.path, l.node) FROM down d JOIN tr l ON l.up = d.node)"""
 LIFT = """anc AS (SELECT node, root, depth, unnest(path) AS ancestor, unnest(range(0, len(path))) AS adepth FROM down),
-lift AS (SELECT a.*, coalesce(sum(coalesce(t.length, 1.0)) OVER (PARTITION BY a.node ORDER BY a.adepth DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS dist FROM anc a JOIN tr t ON t.node = a.ancestor)"""
+lift AS (SELECT a.*, coalesce(sum(CASE WHEN (SELECT bool_or(t2.length IS NULL) FROM down d2 JOIN tr t2 ON t2.node = d2.node WHERE d2.depth > 0) THEN 1.0 ELSE coalesce(t.length, 0.0) END) OVER (PARTITION BY a.node ORDER BY a.adepth DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS dist FROM anc a JOIN tr t ON t.node = a.ancestor)"""
 TIPS = "tips AS (SELECT node FROM down d WHERE NOT EXISTS (SELECT 1 FROM tr c WHERE c.up = d.node))"
 
 
@@ -57,7 +57,7 @@ def tree_distance(spark, d):
 
 
 @query(f"""WITH RECURSIVE {DOWN}, {LIFT}, {TIPS}, p AS (SELECT arg_max(a.dist + b.dist, a.adepth) AS distance FROM lift a JOIN lift b ON a.ancestor = b.ancestor AND a.node < b.node JOIN tips x ON x.node = a.node JOIN tips y ON y.node = b.node GROUP BY a.node, b.node)
-SELECT CASE WHEN round(distance, 6) <= 2 THEN 'nearest' WHEN round(distance, 6) <= 4 THEN 'within_clade' ELSE 'deep' END AS tier, count(*) AS pairs FROM p GROUP BY tier""")
+SELECT CASE WHEN round(distance, 6) <= 2 THEN 'nearest_species_support' WHEN round(distance, 6) <= 4 THEN 'within_clade_support' ELSE 'deep_tree_support' END AS tier, count(*) AS pairs FROM p GROUP BY tier""")
 def distance_tier(spark, d):
     t, r = resolved(spark, d)
     return trees.tip_distances(trees.lifted(r, t), _tips(t, r)).groupBy(scoring.distance_tier(F.round("distance", 6)).alias("tier")).agg(F.count("*").alias("pairs"))
@@ -68,16 +68,18 @@ hit AS (SELECT family, ancestor, adepth, count(DISTINCT mem.node) AS n FROM mem
 best AS (SELECT hit.family, arg_max(ancestor, adepth) AS mrca, max(adepth) AS depth FROM hit JOIN sz ON sz.family = hit.family AND sz.n = hit.n GROUP BY hit.family)"""
 
 
-@query(f"""WITH RECURSIVE {_COV} SELECT sz.family, sz.n AS species, mrca, depth::BIGINT AS depth, CASE WHEN sz.n = 1 THEN 'tip_specific' WHEN sz.n = (SELECT count(*) FROM tips) THEN 'tree_spanning' ELSE 'partial' END AS coverage FROM sz LEFT JOIN best USING (family)""")
+@query(f"""WITH RECURSIVE {_COV} SELECT f.family, coalesce(sz.n, 0) AS species, mrca, depth::BIGINT AS depth, round(coalesce(sz.n, 0) / (SELECT count(*) FROM tips), 6) + 0.0 AS ratio, CASE WHEN sz.n IS NULL THEN 'absent_or_unplaced' WHEN sz.n = (SELECT count(*) FROM tips) THEN 'tree_spanning' WHEN sz.n = 1 THEN 'tip_specific' ELSE 'partial' END AS coverage FROM (SELECT DISTINCT family FROM cell) f LEFT JOIN sz USING (family) LEFT JOIN best USING (family)""")
 def tree_coverage(spark, d):
     t, r = resolved(spark, d)
     tips = _tips(t, r)
     n_tips = tips.agg(F.count("*").alias("n_tips"))
-    mem = cells(spark, d).filter("state = 'present'").join(tips, C("species") == C("tip")).select("family", C("species").alias("node_id")).distinct()
+    seen = cells(spark, d)
+    mem = seen.filter("state = 'present'").join(tips, C("species") == C("tip")).select("family", C("species").alias("node_id")).distinct()
     size = mem.groupBy("family").agg(F.count("*").alias("species"))
     best = trees.mrca(trees.lifted(r, t), mem, "family")
-    out = size.join(best, "family", "left").crossJoin(F.broadcast(n_tips))  # one row
-    return out.select("family", "species", "mrca", C("depth").cast("bigint").alias("depth"), F.when(C("species") == 1, "tip_specific").when(C("species") == C("n_tips"), "tree_spanning").otherwise("partial").alias("coverage"))
+    out = seen.select("family").distinct().join(size, "family", "left").join(best, "family", "left").crossJoin(F.broadcast(n_tips))  # one row
+    n = F.coalesce("species", F.lit(0))
+    return out.select("family", n.alias("species"), "mrca", C("depth").cast("bigint").alias("depth"), r6(n / C("n_tips")).alias("ratio"), F.when(n == 0, "absent_or_unplaced").when(n == C("n_tips"), "tree_spanning").when(n == 1, "tip_specific").otherwise("partial").alias("coverage"))
 
 
 @query(f"""WITH RECURSIVE {_COV}, keep AS (SELECT DISTINCT ancestor AS node FROM lift JOIN (SELECT DISTINCT node FROM mem) x USING (node)) SELECT k.node, d.depth, (SELECT count(*) FROM tr c JOIN keep kk ON kk.node = c.node WHERE c.up = k.node) AS kept_children FROM keep k JOIN down d USING (node)""")

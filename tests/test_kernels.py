@@ -48,8 +48,9 @@ def test_chains():
                 if all(x[p] < x[q] and y[p] < y[q] for p, q in zip(c, c[1:])):
                     chains.append((s[list(c)].sum(), set(c)))
         top = max(t for t, _ in chains)
-        near = [c for t, c in chains if t >= top - 0.5 - 1e-9]
-        best, kept, must = best_chain(x, y, s, 0.5)
+        scheme, delta = r.choice([("", 0.0), ("nt_x", 4.0)])
+        near = [c for t, c in chains if t >= top - delta - 1e-9]
+        best, kept, must = best_chain(x, y, s, scheme)
         assert best == top
         assert set(np.flatnonzero(kept)) == set().union(*near)
         assert set(np.flatnonzero(must)) == set.intersection(*near)
