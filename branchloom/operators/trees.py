@@ -8,6 +8,7 @@ sites, not the sites to the tree.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -84,6 +85,113 @@ def sankoff(tree: Topology, tip_states: dict[str, int], cost: np.ndarray) -> tup
     return float(root.min()), root
 
 
+@dataclass
+class Parsimony:
+    """Arrays over patterns: ``cost`` (n), ``states`` (n, nodes, 2) and ``pairs`` (n, nodes, 2, 2: parent, child) of optimal histories, and one such history (n, nodes)."""
+
+    cost: np.ndarray
+    states: np.ndarray
+    pairs: np.ndarray
+    history: np.ndarray
+
+
+def equal_cost_parsimony(tree: Topology, tips: np.ndarray) -> Parsimony:
+    """Two-state parsimony of many patterns at once. ``tips`` is (n, tips of the tree): 0, 1 or -1 for a tip that says nothing.
+
+    Inside and outside costs give the states and endpoint pairs that occur in
+    some optimal history. The history chosen starts at the lowest root state
+    and keeps the parent's state wherever that stays optimal.
+    """
+    n, m = len(tips), len(tree.order)
+    own = np.zeros((n, m, 2))
+    for j, tip in enumerate(tree.tips):
+        for s in (0, 1):
+            own[tips[:, j] == 1 - s, tree.at[tip], s] = np.inf
+    inside = own.copy()
+    change = 1.0 - np.eye(2)
+    up = np.zeros((n, m, 2))  # cheapest cost of a node's subtree for each state of its parent
+    for i, p in enumerate(tree.parent):
+        if p >= 0:
+            up[:, i] = (inside[:, i, None, :] + change).min(axis=2)
+            inside[:, p] += up[:, i]
+    best = inside[:, m - 1].min(axis=1)
+    pairs = np.zeros((n, m, 2, 2), dtype=bool)
+    total = inside[:, m - 1].copy()
+    full = np.empty((n, m, 2))  # cost of the whole tree with the node in each state
+    full[:, m - 1] = total
+    for i in range(m - 2, -1, -1):
+        p = tree.parent[i]
+        if p < 0:
+            full[:, i] = inside[:, i]
+            continue
+        rest = full[:, p] - up[:, i]  # the tree without this subtree, by the parent's state
+        rest = np.where(np.isfinite(full[:, p]), rest, np.inf)
+        joint = rest[:, :, None] + change + inside[:, i, None, :]
+        pairs[:, i] = joint <= best[:, None, None] + 1e-9
+        full[:, i] = joint.min(axis=1)
+    states = full <= best[:, None, None] + 1e-9
+    history = np.zeros((n, m), dtype=int)
+    history[:, m - 1] = np.where(states[:, m - 1, 0], 0, 1)
+    rows = np.arange(n)
+    for i in range(m - 2, -1, -1):
+        p = tree.parent[i]
+        if p >= 0:
+            kept = history[:, p]
+            history[:, i] = np.where(pairs[rows, i, kept, kept], kept, np.where(pairs[rows, i, kept, 0], 0, 1))
+    return Parsimony(best, states, pairs, history)
+
+
+def two_state_posteriors(tree: Topology, tips: np.ndarray, gain: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood (n), probability of state 1 at every node (n, nodes) and log probability that all informative tips agree, for many patterns with their own rates.
+
+    Root frequencies are stationary. Messages are scaled at every node.
+    """
+    n, m = len(tips), len(tree.order)
+    total = gain + loss
+    prior = np.stack([loss, gain], axis=1) / total[:, None]
+    moves = {}
+    for i, p in enumerate(tree.parent):
+        if p >= 0:
+            c = -np.expm1(-total * tree.length[i]) / total
+            moves[i] = np.stack([np.stack([1 - gain * c, gain * c], 1), np.stack([loss * c, 1 - loss * c], 1)], 1)
+
+    def inward(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        like, up, scale = np.ones((n, m, 2)), np.ones((n, m, 2)), np.zeros(n)
+        for j, tip in enumerate(tree.tips):
+            for s in (0, 1):
+                like[t[:, j] == 1 - s, tree.at[tip], s] = 0.0
+        for i, p in enumerate(tree.parent):
+            if p >= 0:
+                top = np.maximum(like[:, i].max(axis=1), 1e-300)
+                like[:, i] /= top[:, None]
+                scale += np.log(top)
+                up[:, i] = np.einsum("nab,nb->na", moves[i], like[:, i])
+                like[:, p] *= up[:, i]
+        return like, up, scale
+
+    like, up, scale = inward(tips)
+    loglik = np.log(np.maximum((prior * like[:, m - 1]).sum(axis=1), 1e-300)) + scale
+    post = np.zeros((n, m, 2))
+    down = np.zeros((n, m, 2))
+    down[:, m - 1] = prior
+    for i in range(m - 1, -1, -1):
+        p = tree.parent[i]
+        if p >= 0:
+            others = np.ones((n, 2))
+            for k in np.flatnonzero(tree.parent == p):
+                if k != i:
+                    others *= up[:, k]
+            down[:, i] = np.einsum("na,nab->nb", down[:, p] * others, moves[i])
+            down[:, i] /= np.maximum(down[:, i].sum(axis=1, keepdims=True), 1e-300)
+        post[:, i] = down[:, i] * like[:, i]
+    shown = post[:, :, 1] / np.maximum(post.sum(axis=2), 1e-300)
+    same = []
+    for s in (0, 1):
+        l, _, sc = inward(np.where(tips < 0, -1, s))
+        same.append(np.log(np.maximum((prior * l[:, m - 1]).sum(axis=1), 1e-300)) + sc)
+    return loglik, shown, np.logaddexp(*same)
+
+
 def transition(gain: float, loss: float, t: float) -> np.ndarray:
     """Two-state transition probabilities after time t."""
     total = gain + loss
@@ -234,18 +342,3 @@ def fit_two_state(tree: Topology, tip_states: dict[str, int]) -> tuple[float, fl
     """er_loglik, er_rate, ard_loglik and ard_ratio (gain / loss) of fit_rates."""
     er, rate, ard, gain, loss, _ = fit_rates(tree, tip_states)
     return er, rate, ard, gain / loss
-
-
-def per_pattern(cells: DataFrame, tree: list[tuple[str, str | None, float]], kernel, schema: str) -> DataFrame:
-    """Run ``kernel(topology, states)`` once per distinct tip pattern (``pattern``: species=state;...), as the same pattern gives the same result."""
-
-    def run(batches):
-        topology = Topology(tree)
-        for b in batches:
-            rows = []
-            for pattern in b["pattern"]:
-                states = {s: int(v == "p") for s, v in (x.rsplit("=", 1) for x in pattern.split(";") if x) if v in "pa"}
-                rows.append((pattern, *kernel(topology, states)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return cells.select("pattern").distinct().repartition("pattern").mapInPandas(run, schema)

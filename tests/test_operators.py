@@ -11,7 +11,7 @@ from branchloom.functions import sequence, spans, text
 from branchloom.functions.values import key, strand_sign
 from branchloom.operators.joins import densify, nearest_before, overlap_join, reciprocal_best, upsert
 from branchloom.operators.statistics import bh_adjust, chi_square_sf1
-from branchloom.operators.trees import RATE_MAX, RATE_MIN, Topology, fit_rates, fit_two_state, grid_loglik, sankoff, transition, two_state_loglik
+from branchloom.operators.trees import RATE_MAX, RATE_MIN, Topology, equal_cost_parsimony, fit_rates, fit_two_state, grid_loglik, sankoff, transition, two_state_loglik, two_state_posteriors
 from branchloom.plans import skew
 from branchloom.plans.lineage import collect_bounded
 from branchloom.sources import readers, writers
@@ -170,3 +170,46 @@ def test_small_tables_are_read_whole_or_not_at_all(spark, tmp_path):
     (tmp_path / "t.nwk").write_text("(a,b)r;\n" + "\n" * 100_000)
     with pytest.raises(ValueError, match="more than 100000 rows"):
         readers.read_newick(spark, str(tmp_path / "t.nwk"))
+
+
+TIP_ROWS = np.array(list(itertools.product((-1, 0, 1), repeat=3)))
+
+
+def test_equal_cost_parsimony_against_enumeration():
+    tree = Topology(NODES)
+    got = equal_cost_parsimony(tree, TIP_ROWS)
+    up = {n: p for n, p, _ in NODES}
+    for k, tips in enumerate(TIP_ROWS):
+        seen = dict(zip(tree.tips, tips))
+        fits = [s for s in enumerate_states(2) if all(v < 0 or s[t] == v for t, v in seen.items())]
+        cost = lambda s: sum(s[n] != s[p] for n, p in up.items() if p)
+        best = min(map(cost, fits))
+        top = [s for s in fits if cost(s) == best]
+        assert got.cost[k] == best
+        for i, n in enumerate(tree.order):
+            assert {z for z in (0, 1) if got.states[k, i, z]} == {s[n] for s in top}
+            if up[n]:
+                assert {(a, b) for a in (0, 1) for b in (0, 1) if got.pairs[k, i, a, b]} == {(s[up[n]], s[n]) for s in top}
+        assert dict(zip(tree.order, got.history[k].tolist())) in top
+
+
+def test_posteriors_against_enumeration():
+    tree = Topology(NODES)
+    gain, loss = np.linspace(0.2, 0.9, len(TIP_ROWS)), np.linspace(0.7, 0.3, len(TIP_ROWS))
+    loglik, shown, same = two_state_posteriors(tree, TIP_ROWS, gain, loss)
+    for k, tips in enumerate(TIP_ROWS):
+        def weight(s, k=k):
+            w = (loss[k], gain[k])[s["r"]] / (gain[k] + loss[k])
+            for n, p, t in NODES:
+                w *= transition(gain[k], loss[k], t)[s[p], s[n]] if p else 1.0
+            return w
+
+        seen = dict(zip(tree.tips, tips))
+        fits = [s for s in enumerate_states(2) if all(v < 0 or s[t] == v for t, v in seen.items())]
+        total = sum(map(weight, fits))
+        assert math.isclose(loglik[k], math.log(total), rel_tol=1e-9)
+        for i, n in enumerate(tree.order):
+            assert math.isclose(shown[k, i], sum(weight(s) for s in fits if s[n]) / total, rel_tol=1e-9, abs_tol=1e-12)
+        known = [t for t, v in seen.items() if v >= 0]
+        even = sum(weight(s) for s in enumerate_states(2) if len({s[t] for t in known}) == 1) if known else 2.0
+        assert math.isclose(same[k], math.log(even), rel_tol=1e-9, abs_tol=1e-9)
