@@ -302,12 +302,12 @@ def pair_threshold(spark, d):
 
 @query(f"""WITH RECURSIVE {DOWN}, {LIFT}, {TIPS}, {_PAIRS}, {_MEMBERS}, {MATCH}, e AS (SELECT * FROM mem WHERE homology IN (SELECT homology FROM el)),
 s AS (SELECT a.homology, m.total_score AS score, CASE WHEN a.species = b.species AND a.species IN (SELECT node FROM tips) THEN 0.0 ELSE p.distance END AS distance FROM m JOIN e a ON a.occ = m.q JOIN e b ON b.occ = m.t AND b.homology = a.homology LEFT JOIN p ON p.l = least(a.species, b.species) AND p.r = greatest(a.species, b.species) WHERE m.status IS DISTINCT FROM 'unmapped'),
-x AS (SELECT homology, sum((distance <= 2)::INT) AS near, sum((distance > 2 AND distance <= 4)::INT) AS within, sum((distance > 4)::INT) AS deep, max(coalesce(score, 0)) AS best, avg(coalesce(score, 0)) AS mean FROM s GROUP BY homology),
+x AS (SELECT homology, sum((distance <= 2)::INT) AS near, sum((distance > 2 AND distance <= 4)::INT) AS within, sum((distance > 4)::INT) AS deep, max(coalesce(score, 0)) AS best, (sum(round(coalesce(score, 0) * 1000000)::BIGINT) // count(*)) / 1000000.0 AS mean FROM s GROUP BY homology),
 g AS (SELECT homology, count(*) AS members, count(DISTINCT species) AS species, count(DISTINCT species || ':' || copy) AS copies FROM e GROUP BY homology)
 SELECT {ELEMENT.format('homology')} AS element_id, members, species, copies, coalesce(near, 0)::BIGINT AS near, coalesce(within, 0)::BIGINT AS within_clade, coalesce(deep, 0)::BIGINT AS deep, round(best, 6) + 0.0 AS best_score, round(mean, 6) + 0.0 AS mean_score,
 CASE WHEN coalesce(near, 0) + coalesce(within, 0) > 0 THEN 'progressive_supported' WHEN coalesce(deep, 0) > 0 THEN 'deep_only_support' WHEN species >= 2 THEN 'membership_supported_without_pair_score' ELSE 'single_tip_or_low_support' END AS progressive_call FROM g LEFT JOIN x USING (homology)""")
 def progressive_elements(spark, d):
-    """Members of every element and the matches between them by the distance of their species. Matches are joined to memberships on both ids, so no pairs within an element are formed."""
+    """Members of every element and the matches between them by the distance of their species. Matches are joined to memberships on both ids, so no pairs within an element are formed. The mean is taken in millionths, rounded down."""
     t, r = resolved(spark, d)
     tips = _tips(t, r)
     dist = trees.tip_distances(trees.lifted(r, t), tips).select(C("left_tip").alias("l"), C("right_tip").alias("r"), F.round("distance", 6).alias("distance"))
@@ -319,7 +319,7 @@ def progressive_elements(spark, d):
     s = s.join(dist, C("a_sp").isNotNull() & C("b_sp").isNotNull() & (F.least("a_sp", "b_sp") == C("l")) & (F.greatest("a_sp", "b_sp") == C("r")), "left")
     tier = scoring.distance_tier(C("distance"))
     score = F.coalesce("total_score", F.lit(0.0))
-    x = s.groupBy(C("a_h").alias("homology")).agg(F.count_if(tier == "nearest_species_support").alias("near"), F.count_if(tier == "within_clade_support").alias("within_clade"), F.count_if(tier == "deep_tree_support").alias("deep"), F.max(score).alias("best"), F.avg(score).alias("mean"))
+    x = s.groupBy(C("a_h").alias("homology")).agg(F.count_if(tier == "nearest_species_support").alias("near"), F.count_if(tier == "within_clade_support").alias("within_clade"), F.count_if(tier == "deep_tree_support").alias("deep"), F.max(score).alias("best"), (F.expr("sum(cast(round(coalesce(total_score, 0D) * 1000000) AS bigint)) div count(*)") / 1_000_000).alias("mean"))
     g = e.groupBy("homology").agg(F.count("*").alias("members"), F.count_distinct("species").alias("species"), F.count_distinct(F.concat("species", F.lit(":"), "copy")).alias("copies"))
     n = lambda c: F.coalesce(c, F.lit(0))
     call = F.when(n("near") + n("within_clade") > 0, "progressive_supported").when(n("deep") > 0, "deep_only_support").when(C("species") >= 2, "membership_supported_without_pair_score").otherwise("single_tip_or_low_support")
