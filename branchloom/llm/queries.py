@@ -53,6 +53,16 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("members").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+_TIES = f"""e AS (SELECT {_k('query_occurrence_id')} AS a, {_k('subject_occurrence_id')} AS b FROM segment_matches WHERE lower(trim(match_status, ' \t\r\n')) = 'mapped'
+  UNION ALL SELECT {_k('occurrence_id')}, chr(1114111) || {_k('homology_id')} FROM segment_homology),
+both_ AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+walk AS (SELECT a AS id, a AS root FROM both_ UNION SELECT n.b, w.root FROM walk w JOIN both_ n ON n.a = w.id),
+groups_ AS (SELECT id, min(root) AS group_id FROM walk WHERE root NOT LIKE chr(1114111) || '%' GROUP BY id),
+found AS (SELECT id AS occurrence_id, group_id, count(*) OVER (PARTITION BY group_id) AS n FROM groups_ WHERE id NOT LIKE chr(1114111) || '%')"""
+SQL["p3_found"] = f"WITH RECURSIVE {_TIES} SELECT occurrence_id, group_id FROM found WHERE n > 1"
+SQL["p3_group_sizes"] = f"WITH RECURSIVE {_TIES} SELECT n AS members, count(DISTINCT group_id) AS n_groups FROM found WHERE n > 1 GROUP BY n"
+
+
 # --- 5: top N --------------------------------------------------------------
 
 _BEST = 3
